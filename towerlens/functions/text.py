@@ -11,13 +11,16 @@ from pyspark.sql import Column, functions as F
 
 # Fixed values
 SITE_PATTERN = "^[A-Za-z][A-Za-z0-9]{4}[0-9]$"
-UNUSABLE_IDENTIFIERS = ("", "-", "nan", "none", "UNKNOWN", "OSS")
-UNUSABLE_PREFIX = "UGW"
 MISSING_NODE_IDS = ("-", "nan", "none", "")
 TECHNOLOGY_PATTERN = "(?i)_(LTE|NR|GSM|UMTS|4G|5G|EUCELLSECTEQ|UCELLSECTEQ|_G|_L|_U)_"
 CELL_ID_PATTERN = r"Cell ID=(\d+)"
 SEVERITY_RANKS = {"Critical": 4, "Major": 3, "Minor": 2, "Warning": 1, "Unknown": 0}
 
+SITE_TEXT_PATTERN = (
+    r"(?s)^\s*(?!UGW)(?:.*=)?\s*([A-Za-z][A-Za-z0-9]{4}[0-9](?:\s*_[^=]*?)?)\s*$"
+)
+USABLE_PATTERN = r"(?s)^\s*(?!(?:-|nan|none|UNKNOWN|OSS)?\s*$|UGW)(.*?)\s*$"
+
 _BLANKS = " \t\n\r\x0b\x0c"
 
 
@@ -57,34 +60,23 @@ def text_or_nan(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("nan"))
 
 
+def _found(c: Column, pattern: str) -> Column:
+    """First capture of the pattern, null without a match; the text is evaluated once."""
+    return F.try_element_at(F.regexp_extract_all(c.cast("string"), F.lit(pattern), F.lit(1)), F.lit(1))
+
+
 def usable_identifier(c: Column) -> Column:
     """The stripped value, or null when it names no tower."""
-    value = strip(c.cast("string"))
-    bad = value.isin(*UNUSABLE_IDENTIFIERS) | value.startswith(UNUSABLE_PREFIX)
-    return F.when(~bad, value)
-
-
-def _site_match(value: Column) -> Column:
-    """(site, node) of one usable value, null when its prefix is no site id."""
-    tail = strip(F.substring_index(value, "=", -1))
-    prefix = strip(F.substring_index(tail, "_", 1))
-    return F.when(
-        prefix.rlike(SITE_PATTERN),
-        F.struct(F.upper(prefix).alias("site_id"), tail.alias("node_identifier")),
-    )
-
-
-def identity(candidates: Sequence[Column]) -> Column:
-    """Struct (site_id, node_identifier) from the first candidate that names a site.
-
-    Without a match the site is ``-`` and the node is the first usable raw value.
-    """
-    values = [usable_identifier(c) for c in candidates]
-    fallback = F.struct(
-        F.lit("-").alias("site_id"),
-        F.coalesce(*values, F.lit("-")).alias("node_identifier"),
-    )
-    return F.coalesce(*[_site_match(v) for v in values], fallback)
+    return _found(c, USABLE_PATTERN)
+
+
+def site_text(candidates: Sequence[Column]) -> Column:
+    """Text after the last ``=`` of the first candidate whose part before ``_`` is a site id."""
+    return F.coalesce(*[_found(c, SITE_TEXT_PATTERN) for c in candidates])
+
+
+def first_usable(candidates: Sequence[Column]) -> Column:
+    return F.coalesce(*[usable_identifier(c) for c in candidates], F.lit("-"))
 
 
 def entity_key(site: Column, node: Column) -> Column:

@@ -23,20 +23,21 @@ def with_event_time(df: DataFrame) -> DataFrame:
 
 
 def with_identity(df: DataFrame) -> DataFrame:
+    """Site from the first candidate that names one; node from it, else the first usable value."""
     present = [F.col(c) for c in SITE_CANDIDATES if c in df.columns]
-    found = text.identity(present) if present else F.struct(
-        F.lit("-").alias("site_id"), F.lit("-").alias("node_identifier"))
+    nothing = F.lit(None).cast("string")
     out = df.withColumns({
+        "_site_text": text.site_text(present) if present else nothing,
+        "_fallback": text.first_usable(present) if present else F.lit("-"),
         "enodeb_id": text.node_id(columns.column_or(df, "enodeb_id", "-")),
         "gnodeb_id": text.node_id(columns.column_or(df, "gnodeb_id", "-")),
-        "_identity": found,
     })
     by_number = F.when(F.col("enodeb_id") != "-", F.col("enodeb_id")).otherwise(F.col("gnodeb_id"))
-    node = F.col("_identity.node_identifier")
+    node = F.coalesce("_site_text", "_fallback")
     return out.withColumns({
-        "site_id": F.col("_identity.site_id"),
+        "site_id": F.coalesce(F.upper(F.left("_site_text", F.lit(6))), F.lit("-")),
         "node_identifier": F.when(node == "-", by_number).otherwise(node),
-    }).drop("_identity")
+    }).drop("_site_text", "_fallback")
 
 
 def with_attributes(df: DataFrame, profile: str = "cleaning") -> DataFrame:
