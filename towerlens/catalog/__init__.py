@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("cleaning", "sequences", "grids", "around_outages", "summaries", "evaluation", "audits")
+AREAS = ("cleaning", "sequences", "grids", "around_outages", "summaries", "evaluation", "audits", "tables", "models")
 
 
 def load() -> tuple[dict, dict]:
