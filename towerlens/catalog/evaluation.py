@@ -61,7 +61,7 @@ def k1_fallback(spark, sf_dir):
     return sums[0].unionByName(sums[1])
 
 
-_SIDE = (f"CASE WHEN {_bucket_sql('mo_name', 10000)} < 1500 THEN 'test' WHEN {_bucket_sql('mo_name', 10000)} < 3000 "
+_SIDE = (f"CASE WHEN {_bucket_sql('mo_name', 100)} < 15 THEN 'test' WHEN {_bucket_sql('mo_name', 100)} < 30 "
          "THEN 'validation' ELSE 'train' END")
 
 

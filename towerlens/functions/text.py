@@ -81,8 +81,7 @@ def first_usable(candidates: Sequence[Column]) -> Column:
 
 def entity_key(site: Column, node: Column) -> Column:
     """Aggregation entity: the site when known, the node otherwise."""
-    known = site.isNotNull() & ~site.isin("-", "UNKNOWN")
-    return F.when(known, site).otherwise(node)
+    return F.coalesce(F.when(~site.isin("-", "UNKNOWN"), site), node)
 
 
 def _amount(text: Column, unit: str) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from towerlens import session
 from towerlens.operators import slices
 from towerlens.operators.slices import Order
 
@@ -70,13 +71,15 @@ def class_report(df: DataFrame, score: str, label: str, threshold: float = 0.5)
 def curve_points(df: DataFrame, score: str, label: str, by: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """One row per distinct score from high to low with cumulative and previous counts.
 
-    Rows are folded to counts per score before any ordering; the running counts split over
-    tasks when there are many distinct scores.
+    Rows are folded to counts per score before any ordering and kept, so that whatever
+    produced the scores runs once; the running counts split over tasks when there are many
+    distinct scores.
     """
     counts = df.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("bigint")).alias("pos"),
         F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
-    ordered = slices.slice_groups(counts, by, (Order("score", descending=True),), limit)
+    ordered = slices.slice_groups(
+        session.cut_lineage(counts), by, (Order("score", descending=True),), limit)
     summed = slices.running(ordered, {"tp": F.col("pos"), "fp": F.col("neg")})
     return slices.with_group_total(summed, {"p": F.col("pos"), "n": F.col("neg")}).rows()
 

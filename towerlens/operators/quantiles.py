@@ -87,11 +87,9 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     span = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     place = F.try_divide(F.col(value) - lo, (hi - lo) / bins)
-    index = F.least(F.coalesce(F.floor(place), F.lit(0)), F.lit(bins - 1))
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    )
+    index = F.least(F.coalesce(F.floor(place), F.lit(0)), F.lit(bins - 1)).cast("int")
+    placed = df.where(F.col(value).isNotNull()).select(index.alias("bin"))
+    return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def box_plot(df: DataFrame, value: str, by: Sequence[str] = (), limit: int | None = None) -> DataFrame:

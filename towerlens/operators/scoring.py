@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from towerlens import session
 from towerlens.functions import risk, text
 from towerlens.operators import columns, quantiles, sliding
 
@@ -68,4 +69,6 @@ def score_upload(alarms: DataFrame, model, entity: str = "entity") -> DataFrame:
 
 
 def probability_distribution(scored: DataFrame, probability: str = "outage_probability", bins: int = 50) -> DataFrame:
-    return quantiles.histogram(scored, probability, bins)
+    """Histogram of the probabilities; they are scored once and kept for the range and the counts."""
+    kept = session.cut_lineage(scored.select(probability))
+    return quantiles.histogram(kept, probability, bins)

@@ -156,19 +156,25 @@ def lookback_features(
     grid = _grid_rows(buckets, lo, last, counted, reach, dense)
 
     window = Window.partitionBy("entity").orderBy("_g")
+    carried = [*[f"_cum_{c}" for c in counted], "_run_pair"]
+    grid = grid.withColumn("_state", F.struct(*carried))
 
-    def before(column: str, back: int) -> Column:
-        """Running total of everything in buckets up to ``_g - back``."""
-        return F.max(column).over(window.rangeBetween(Window.unboundedPreceding, -back))
+    def before(back: int) -> Column:
+        """State after everything in buckets up to ``_g - back``."""
+        if dense:
+            return F.lag("_state", back).over(window)
+        return F.last("_state").over(window.rangeBetween(Window.unboundedPreceding, -back))
+
+    backs = {hours: hours // unit_hours + 1 for hours in lookbacks}
+    grid = grid.withColumns({f"_back{b}": before(b) for b in {1, *backs.values()}})
 
     features: dict[str, Column] = {}
-    for hours in lookbacks:
-        back = hours // unit_hours
+    for hours, back in backs.items():
         for c in counted:
-            now = F.coalesce(before(f"_cum_{c}", 1), F.lit(0))
-            then = F.coalesce(before(f"_cum_{c}", back + 1), F.lit(0))
+            now = F.coalesce(F.col(f"_back1._cum_{c}"), F.lit(0))
+            then = F.coalesce(F.col(f"_back{back}._cum_{c}"), F.lit(0))
             features[f"{c}_alarms_{hours}h"] = (now - then).cast("bigint")
-    streak = before("_run_pair", 1) >= F.col("_g") - streak_hours // unit_hours
+    streak = F.col("_back1._run_pair") >= F.col("_g") - streak_hours // unit_hours
     features[f"consecutive_critical_streak_{streak_hours}h"] = F.coalesce(streak, F.lit(False)).cast("int")
     for target in TARGET_FLAGS:
         flag = F.col(f"_{target}")

@@ -43,15 +43,11 @@ def group_column(df: DataFrame, row_key: str) -> str:
 
 
 def side(group: Column, shares: Mapping[str, float] = SHARES, seed: int = 42) -> Column:
-    """Name of the part a group belongs to."""
-    place = bucket(group, _FINE, seed)
-    result, upper = None, 0
-    names = list(shares)
-    for name in names[:-1]:
-        upper += round(shares[name] * _FINE)
-        test = place < upper
-        result = F.when(test, F.lit(name)) if result is None else result.when(test, F.lit(name))
-    return F.lit(names[-1]) if result is None else result.otherwise(F.lit(names[-1]))
+    """Name of the part a group belongs to; shares are whole percents."""
+    slots = [name for name, share in shares.items() for _ in range(round(share * 100))]
+    if len(slots) != 100:
+        raise ValueError(f"shares must add up to 100 percent, got {len(slots)}")
+    return F.element_at(F.array(*[F.lit(name) for name in slots]), (bucket(group, 100, seed) + 1).cast("int"))
 
 
 def group_split(

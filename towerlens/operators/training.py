@@ -262,6 +262,7 @@ def loss_history(model: GBTClassificationModel, parts: dict[str, DataFrame]) ->
 
 def scorecard(scored: DataFrame, model: str, score: str, label: str, threshold: float = 0.5) -> DataFrame:
     """Metrics per model, best average precision first; the first row is the champion."""
+    scored = session.cut_lineage(scored.select(model, score, label))
     points = curves.curve_points(scored, score, label, (model,))
     areas = curves.areas(points, (model,))
     metrics = curves.threshold_metrics(scored, score, label, threshold, (model,))

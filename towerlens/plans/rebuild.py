@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from towerlens import session
 from towerlens.operators import columns, curves, quality, scoring, sliding, split, training
 from towerlens.settings import Settings
 
@@ -35,7 +34,7 @@ def _row_key() -> Column:
 def evaluate(model, test: DataFrame) -> dict:
     """PR area (trapezoid), ROC area and the F1-optimal threshold on a hold-out."""
     scored = model.score(test).select("outage_probability", F.col(TARGET).alias("y"))
-    points = session.cut_lineage(curves.curve_points(scored, "outage_probability", "y"))
+    points = curves.curve_points(scored, "outage_probability", "y")
     if (points.agg(F.max("p")).first()[0] or 0) == 0:
         return {"pr_auc": 0.0, "roc_auc": 0.0, "optimal_threshold": 0.5}
     areas, best = curves.areas(points).first(), curves.best_threshold(points).first()
