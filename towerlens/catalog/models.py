@@ -55,7 +55,7 @@ def _parts(spark, sf_dir):
 
 def _holdout(spark, sf_dir, estimator, name):
     _, parts = _parts(spark, sf_dir)
-    scored = estimator.fit(parts["train"]).transform(parts["test"])
+    scored = training.fit(estimator, parts["train"]).transform(parts["test"])
     return scored.select(
         F.lit(name).alias("model"), training.vector_to_array("probability")[1].alias("score"),
         F.col("label").cast("int").alias("label"))

@@ -17,9 +17,9 @@ CELL_ID_PATTERN = r"Cell ID=(\d+)"
 SEVERITY_RANKS = {"Critical": 4, "Major": 3, "Minor": 2, "Warning": 1, "Unknown": 0}
 
 SITE_TEXT_PATTERN = (
-    r"(?s)^\s*(?!UGW)(?:.*=)?\s*([A-Za-z][A-Za-z0-9]{4}[0-9](?:\s*_[^=]*?)?)\s*$"
+    r"(?s)^\s*+(?!UGW)(?:.*=)?\s*([A-Za-z][A-Za-z0-9]{4}[0-9](?:\s*_[^=]*?)?)\s*$"
 )
-USABLE_PATTERN = r"(?s)^\s*(?!(?:-|nan|none|UNKNOWN|OSS)?\s*$|UGW)(.*?)\s*$"
+USABLE_PATTERN = r"(?s)^\s*+(?!(?:-|nan|none|UNKNOWN|OSS)?\s*$|UGW)(.*?)\s*$"
 
 _BLANKS = " \t\n\r\x0b\x0c"
 

@@ -72,6 +72,11 @@ def with_weights(df: DataFrame, weight: float | None = None) -> DataFrame:
     return df.withColumn(WEIGHT, F.when(F.col(LABEL) == 1, F.lit(weight)).otherwise(F.lit(1.0)))
 
 
+def fit(estimator, df: DataFrame) -> Model:
+    """Fitted model without its training summary, which would tie it to the training data."""
+    return estimator.fit(df).copy()
+
+
 def _margin(prediction: str = "rawPrediction") -> Column:
     return vector_to_array(prediction)[1]
 
@@ -162,7 +167,7 @@ def calibrate(df: DataFrame, features: Sequence[str], estimator, row_key: Column
     members = []
     try:
         for i in range(folds):
-            model = estimator.fit(marked.where(F.col(FOLD) != i))
+            model = fit(estimator, marked.where(F.col(FOLD) != i))
             held = model.transform(marked.where(F.col(FOLD) == i)).select(_margin().alias("margin"), LABEL)
             vector = VectorAssembler(inputCols=["margin"], outputCol="v").transform(held)
             sigmoid = LogisticRegression(featuresCol="v", labelCol=LABEL, maxIter=100).fit(vector)

@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from towerlens import session
 from towerlens.operators import clean, explore
 from towerlens.plans import rebuild
 from towerlens.settings import Settings
@@ -24,7 +25,8 @@ class DailyResult:
 
 def ingest(raw: DataFrame, history_path: str, source: str | None, now: datetime) -> tuple[DataFrame, int]:
     """Clean, choose the towers to model, append their alarms to the history."""
-    alarms = clean.with_entity(clean.clean_alarms(raw))
+    # kept once: selection, history and features all start from the cleaned rows
+    alarms = session.cut_lineage(clean.with_entity(clean.clean_alarms(raw)))
     chosen = explore.select_towers(alarms, "entity", "is_cell_unavailable")
     return chosen, history.append(chosen, history_path, source, now)
 

@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from towerlens import session
 from towerlens.operators import clean, explore, scoring, training
 from towerlens.sources import files, history
 
@@ -23,7 +24,8 @@ def run(spark: SparkSession, folder: str, history_path: str, model_path: str, no
     """All files of a folder in one job, keyed by their source file."""
     loaded = files.load_folder(spark, folder, ("csv", "xlsx"))
     per_file = ("source_file", *clean.DEDUPE_KEY)
-    alarms = clean.with_entity(clean.first_per_minute(clean.clean_alarms(loaded.rows, dedupe=False), per_file))
+    cleaned = clean.clean_alarms(loaded.rows, dedupe=False)
+    alarms = session.cut_lineage(clean.with_entity(clean.first_per_minute(cleaned, per_file)))
     inserted = history.append(alarms, history_path, None, now)
     history.purge(spark, history_path, now)
     model = training.load_model(spark, model_path, training.HELPER_FEATURES)
