@@ -55,9 +55,8 @@ _INFORMATION = (
 
 @register("f23_mutual_information", with_alarms(_INFORMATION.format(c="alarm_name") + " UNION ALL " + _INFORMATION.format(c="severity")))
 def f23(spark, sf_dir):
-    rows = alarms(spark, sf_dir)
-    parts = [quality.mutual_information(rows, c, "is_cell_unavailable") for c in ("alarm_name", "severity")]
-    return parts[0].unionByName(parts[1]).select("column", *rounded("mutual_information"))
+    rows = quality.mutual_information(alarms(spark, sf_dir), ("alarm_name", "severity"), "is_cell_unavailable")
+    return rows.select("column", *rounded("mutual_information"))
 
 
 _UNIQUE = ("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")

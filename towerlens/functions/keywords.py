@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Keyword lists of the cleaning profile.
 CLEANING = {
@@ -71,10 +71,24 @@ def has_any(name: Column, keywords: Iterable[str]) -> Column:
     return reduce(or_, [name.contains(word) for word in needed(keywords)])
 
 
-def flags(alarm_name: Column, profile: str = "cleaning") -> dict[str, Column]:
-    """0/1 column per category of the profile."""
-    name = F.lower(F.coalesce(alarm_name.cast("string"), F.lit("nan")))
+def lowered(alarm_name: Column) -> Column:
+    return F.lower(F.coalesce(alarm_name.cast("string"), F.lit("nan")))
+
+
+def flags_of_lowered(name: Column, profile: str = "cleaning") -> dict[str, Column]:
+    """0/1 column per category of the profile, for a name already in lower case."""
     return {
         category: has_any(name, words).cast("int")
         for category, words in PROFILES[profile].items()
     }
+
+
+def flags(alarm_name: Column, profile: str = "cleaning") -> dict[str, Column]:
+    """0/1 column per category of the profile."""
+    return flags_of_lowered(lowered(alarm_name), profile)
+
+
+def with_flags(df: DataFrame, profile: str = "cleaning", name: str = "alarm_name") -> DataFrame:
+    """Add the flags; the name is put in lower case once per row."""
+    staged = df.withColumn("_lowered", lowered(F.col(name)))
+    return staged.withColumns(flags_of_lowered(F.col("_lowered"), profile)).drop("_lowered")

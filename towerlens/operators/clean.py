@@ -47,7 +47,7 @@ def with_attributes(df: DataFrame, profile: str = "cleaning") -> DataFrame:
     severity = text.capitalised(F.col("severity")) if "severity" in df.columns else F.lit("Major")
     duration = text.duration_minutes(F.col("alarm_duration")) if "alarm_duration" in df.columns else F.lit(0.0)
     flagged = df.withColumns({"alarm_name": name, "severity": severity, "duration_minutes": duration})
-    flagged = flagged.withColumns(keywords.flags(F.col("alarm_name"), profile))
+    flagged = keywords.with_flags(flagged, profile)
     return flagged.withColumn("is_outage", F.col("is_cell_unavailable"))
 
 

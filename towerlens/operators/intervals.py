@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from towerlens import session
 from towerlens.functions import keywords, risk, timeparts
 from towerlens.operators import slices
 
@@ -75,18 +76,19 @@ def precursor_counts(
     count at the two ends, so each alarm becomes two probes in the outage ordering.
     """
     width = hours * timeparts.HOUR
-    outages, others = split_outages(alarms)
-    events = _times(outages, keys).select(
-        *keys, "us", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("alarm_name"),
-        F.lit(0).cast("bigint").alias("weight"), F.col("n").alias("outages"))
-    folded = _times(others, keys, "alarm_name")
-    probes = [
-        folded.select(
-            *keys, (F.col("us") + shift).alias("us"), F.lit(1).alias("kind"), "alarm_name",
-            (F.col("n") * sign).alias("weight"), F.lit(0).cast("bigint").alias("outages"))
-        for shift, sign in ((0, -1), (width, 1))
-    ]
-    line = events.unionByName(probes[0]).unionByName(probes[1])
+    outage = risk.is_outage(F.col("alarm_name"))
+    folded = _times(
+        alarms.withColumns({"outage": outage, "other": F.when(~outage, F.col("alarm_name"))}), keys, "outage", "other")
+
+    def entry(shift: int, sign: int) -> Column:
+        return F.struct(
+            (F.col("us") + shift).alias("us"), F.lit(0 if sign == 0 else 1).alias("kind"),
+            F.col("other").alias("alarm_name"), (F.col("n") * sign).alias("weight"),
+            (F.col("n") if sign == 0 else F.lit(0).cast("bigint")).alias("outages"))
+
+    # one pass: an outage is itself, any other alarm is two probes
+    entries = F.when(F.col("outage"), F.array(entry(0, 0))).otherwise(F.array(entry(0, -1), entry(width, 1)))
+    line = session.cut_lineage(folded.select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.*"))
     order = ("us", "kind", "alarm_name", "weight")
     counted = slices.running(slices.slice_groups(line, keys, order, limit), {"seen": F.col("outages")})
     return (
@@ -143,7 +145,7 @@ def cooccurrence(
         .agg(*[F.count_if(F.col("alarm_name") == name).alias(f"c{i}") for i, name in enumerate(names)])
     )
     upcoming = slices.running(
-        slices.slice_groups(moments, keys, ("us",), limit),
+        slices.slice_groups(session.cut_lineage(moments), keys, ("us",), limit),
         {f"next{i}": F.when(F.col(f"c{i}") > 0, F.col("us")) for i in range(len(names))},
         how="min", inclusive=False, backwards=True,
     ).rows()
@@ -171,23 +173,27 @@ def lead_time_prevalence(
     limit: int | None = None,
 ) -> DataFrame:
     """Share of outages with at least one alarm of a category in ``[T-6h, T-1h]``."""
-    lowered = F.lower("alarm_name")
-    us = timeparts.micros(F.col("event_time")).alias("us")
     categories = list(keywords.LEAD_TIME)
-    matched = (
-        alarms.where(keywords.has_any(lowered, keywords.LEAD_TIME.values()))
-        .select(*keys, us, lowered.alias("name"))
+    us = timeparts.micros(F.col("event_time")).alias("us")
+    named = alarms.select(*keys, us, keywords.lowered(F.col("alarm_name")).alias("name"))
+    outage = risk.is_outage(F.col("name"))
+    moments = (
+        named.where(outage | keywords.has_any(F.col("name"), keywords.LEAD_TIME.values()))
         .groupBy(*keys, "us")
-        .agg(*[F.max(F.col("name").contains(keywords.LEAD_TIME[c])).alias(c) for c in categories])
-        .withColumns({"kind": F.lit(0), "outages": F.lit(0).cast("bigint")})
+        .agg(
+            *[F.max(F.col("name").contains(keywords.LEAD_TIME[c])).alias(c) for c in categories],
+            F.count_if(outage).alias("outages"))
     )
-    probes = _times(split_outages(alarms)[0], keys).select(
-        *keys, (F.col("us") - to_hours * timeparts.HOUR).alias("us"),
-        *[F.lit(False).alias(c) for c in categories],
-        F.lit(1).alias("kind"), F.col("n").alias("outages"))
-    line = slices.slice_groups(matched.unionByName(probes), keys, ("us", "kind"), limit)
+    none = [F.lit(False).alias(c) for c in categories]
+    seen_here = F.struct(
+        F.col("us"), F.lit(0).alias("kind"), *categories, F.lit(0).cast("bigint").alias("outages"))
+    probe = F.struct(
+        (F.col("us") - to_hours * timeparts.HOUR).alias("us"), F.lit(1).alias("kind"), *none, F.col("outages"))
+    entries = F.when(F.col("outages") > 0, F.array(seen_here, probe)).otherwise(F.array(seen_here))
+    line = session.cut_lineage(moments.select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.*"))
     seen = slices.running(
-        line, {f"last_{c}": F.when(F.col(c), F.col("us")) for c in categories}, how="max").rows()
+        slices.slice_groups(line, keys, ("us", "kind"), limit),
+        {f"last_{c}": F.when(F.col(c), F.col("us")) for c in categories}, how="max").rows()
     earliest = F.col("us") - (from_hours - to_hours) * timeparts.HOUR
     probed = seen.where(F.col("kind") == 1).agg(
         F.sum("outages").alias("outages"),

@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from towerlens import session
 from towerlens.operators import columns, explore, sequence
 from towerlens.schema import IDENTIFIER_COLUMNS, TARGET_COLUMNS
 
@@ -85,18 +86,26 @@ def correlated_pairs(df: DataFrame, above: float = CORRELATION_LIMIT, names: Seq
     return correlation_matrix(df, names).where(F.abs("correlation") > above)
 
 
-def mutual_information(df: DataFrame, column: str, target: str) -> DataFrame:
-    """Mutual information in nats of two categorical columns, from their contingency counts."""
-    pairs = df.groupBy(
-        F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias("x"),
-        F.col(target).cast("string").alias("y"),
-    ).agg(F.count(F.lit(1)).alias("n"))
-    xs = pairs.groupBy("x").agg(F.sum("n").alias("nx"))
-    ys = pairs.groupBy("y").agg(F.sum("n").alias("ny"))
-    rows = pairs.agg(F.sum("n").alias("t")).scalar()
-    joint = pairs.join(xs, "x").join(ys, "y").withColumn("t", rows)
-    term = F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))
-    return joint.agg(F.lit(column).alias("column"), F.greatest(F.sum(term), F.lit(0.0)).alias("mutual_information"))
+def mutual_information(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:
+    """Mutual information in nats of categorical columns with the target.
+
+    All contingency tables come from one pass: rows are unfolded to (column, value,
+    target) and folded to counts at once, on the map side first.
+    """
+    cells = F.array(*[
+        F.struct(F.lit(n).alias("column"), F.coalesce(F.col(n).cast("string"), F.lit("nan")).alias("x"))
+        for n in names
+    ])
+    pairs = session.cut_lineage(
+        df.select(F.col(target).cast("string").alias("y"), F.explode(cells).alias("_c")).select("y", "_c.*")
+        .groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+    xs = pairs.groupBy("column", "x").agg(F.sum("n").alias("nx"))
+    ys = pairs.groupBy("column", "y").agg(F.sum("n").alias("ny"))
+    totals = pairs.groupBy("column").agg(F.sum("n").alias("t"))
+    joint = pairs.join(xs, ["column", "x"]).join(ys, ["column", "y"]).join(totals, "column")
+    term = F.col("n") / F.col("t") * F.log(
+        F.col("n").cast("double") * F.col("t") / (F.col("nx").cast("double") * F.col("ny")))
+    return joint.groupBy("column").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mutual_information"))
 
 
 def unique_ratios(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -168,10 +177,10 @@ def audit_rows(
         findings.append(_finding(
             target_correlations(df, target, numeric), "target_signal", "abs_correlation", strength,
             strength > CORRELATION_LIMIT))
-    for name in textual:
+    if textual:
         information = F.col("mutual_information")
         findings.append(_finding(
-            mutual_information(df, name, target), "target_signal", "mutual_information", information,
+            mutual_information(df, textual, target), "target_signal", "mutual_information", information,
             information > INFORMATION_LIMIT))
     ratios = unique_ratios(df, candidates)
     ratio = F.col("unique_ratio")

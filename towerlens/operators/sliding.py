@@ -39,8 +39,7 @@ def first_attributes(
 def flag_events(alarms: DataFrame, profile: str = "matrix") -> DataFrame:
     """Severity and category flags of the feature matrix, by its own keyword profile."""
     severity = F.lower(F.coalesce(F.col("severity"), F.lit("nan")))
-    return alarms.withColumns({
-        **keywords.flags(F.col("alarm_name"), profile),
+    return keywords.with_flags(alarms, profile).withColumns({
         "is_critical": (severity == "critical").cast("int"),
         "is_major": (severity == "major").cast("int"),
     })

@@ -15,6 +15,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the JVM interprets methods above 8000 bytes of bytecode; wide projections such as the
+    # cleaning step run faster split into small methods than fused into one huge one
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
