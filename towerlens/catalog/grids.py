@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from towerlens import session
 from towerlens.catalog.base import alarms, integers, naive, with_alarms
 from towerlens.catalog.registry import Area
 from towerlens.functions import text
@@ -168,13 +169,14 @@ def g13_by_site(spark, sf_dir):
 @register("d5_latest_snapshot", _matrix_sql(
     (6,), select="entity, window_timestamp, total_alarms_6h", tail="QUALIFY window_timestamp = max(window_timestamp) OVER ()"))
 def d5(spark, sf_dir):
-    rows = matrix(spark, sf_dir, Settings(lookback_hours=(6,)))
+    rows = session.cut_lineage(matrix(spark, sf_dir, Settings(lookback_hours=(6,))))
     return sliding.latest_matrix_rows(rows).select("entity", naive("window_timestamp"), "total_alarms_6h")
 
 
 def priority_snapshot(spark, sf_dir) -> DataFrame:
     """Towers with alarms in the last six hours at the newest grid point, busiest first."""
-    rows = matrix(spark, sf_dir, Settings(lookback_hours=(6, 24)))
+    # kept once: the newest point and its rows both come from the finished matrix
+    rows = session.cut_lineage(matrix(spark, sf_dir, Settings(lookback_hours=(6, 24))))
     busy = sliding.latest_matrix_rows(rows).where(F.col("total_alarms_6h") > 0)
     return busy.select(
         "entity", "site_id", "node_identifier", naive("window_timestamp"),
