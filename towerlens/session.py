@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,18 +32,50 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names, or a fresh one in tests."""
+    """Folder every executor can reach: the one the cluster names, or a fresh one in local mode.
+
+    Outside local mode a session without ``spark.checkpoint.dir`` is an error: executors
+    would write to folders that nobody else can read.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(root)
         return root.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rsplit("/", 1)[0]
-    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = tempfile.mkdtemp(prefix="run-")
     spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+_SHIPPED = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, as ``addPyFile`` does.
+
+    Workers then import it wherever they were started.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="ship-"), "towerlens_package.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_root(spark)}/towerlens/{label}-{uuid.uuid4().hex}"
