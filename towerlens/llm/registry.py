@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from towerlens.llm import simhash_neardup
+from towerlens.llm import decontamination, line_dedup, packing, quality_rules, simhash_neardup
 
 QUERIES = {
+    "op1_mixture_packing": packing.query,
+    "op4_fm_decontamination": decontamination.query,
     "op5_simhash_vptree": simhash_neardup.query,
+    "op8_fuzzy_lines": line_dedup.query,
+    "op10_quality_trees": quality_rules.query,
 }
 SQL: dict[str, str] = {}
