@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from towerlens.llm import decontamination, line_dedup, packing, quality_rules, simhash_neardup
+from towerlens.llm import decontamination, fixity, language_id, license_scan, line_dedup, packing, pii, quality_rules, sharding, simhash_neardup
 
 QUERIES = {
     "op1_mixture_packing": packing.query,
+    "op2_merkle_fixity": fixity.query,
+    "op3_pii_weak_labels": pii.query,
     "op4_fm_decontamination": decontamination.query,
     "op5_simhash_vptree": simhash_neardup.query,
+    "op6_language_bayes": language_id.query,
+    "op7_license_tfidf": license_scan.query,
     "op8_fuzzy_lines": line_dedup.query,
+    "op9_best_fit_shards": sharding.query,
     "op10_quality_trees": quality_rules.query,
 }
-SQL: dict[str, str] = {}
+SQL = {"op2_merkle_fixity": fixity.SQL}
