@@ -25,7 +25,7 @@ def brute(docs):
     seen = []
     for doc, text in docs:
         for n, raw in enumerate((text or "").split("\n")):
-            line = re.sub(r"[ \t\r\x0b\x0c]+", " ", raw).strip(" ").lower()
+            line = re.sub(r"\s+", " ", raw.lower()).strip()
             if line:
                 seen.append((doc, n, line))
     different = sorted({x[2] for x in seen})
@@ -88,7 +88,7 @@ def test_given_documents(spark):
 
 
 def test_edge_cases(spark):
-    docs = [(1, None), (2, ""), (3, "\n \n"), (4, "same\nSame \n other"), (5, "other"), (6, "y" * 30000), (7, "y" * 29999 + "z"), (None, "same")]
+    docs = [(1, None), (2, ""), (3, "\n \n"), (4, "same\nSame \n other"), (5, "other"), (6, "y" * 1500), (7, "y" * 1499 + "z"), (8, "w " * 40000), (None, "same")]
     assert run(spark, docs) == sorted(brute(docs), key=str)
     assert run(spark, [(1, "twice"), (1, "twice")]) == [(1, "twice"), (1, "twice")]
     assert run(spark, []) == []

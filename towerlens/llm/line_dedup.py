@@ -1,6 +1,6 @@
 """Fuzzy line deduplication.
 
-Lines are normalised (lower case, single spaces) and get a SimHash over their byte 5-grams.
+Lines are normalised (lower case, white space as single spaces) and get a SimHash over their byte 5-grams.
 Two lines link if their SimHashes differ in at most three bits and their edit similarity is
 at least 0.8. Of five blocks of the SimHash two must then be equal, so candidates meet on
 one of ten block pairs. A small bucket gives its candidate pairs; in a large one every line
@@ -18,6 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from towerlens.llm import common
 BITS, SIMILARITY = 3, 0.8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Lines a bucket may hold to be compared pair by pair at once.
-SMALL = 32
+SMALL = 4
 #: Bucket rows per task.
 TASK_ROWS = 400_000
 #: Line ids that are broadcast at most; more are joined by a shuffle.
@@ -58,27 +59,58 @@ def line_prints(lines: list[str]) -> np.ndarray:
     return common.majority(gram, lengths)
 
 
-def _normal(line):
-    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+def normal_lines(text: str | None) -> list[tuple[int, str]]:
+    """(line number, normalised line) of the lines that are not blank."""
+    lines = ((i, " ".join(x.split())) for i, x in enumerate((text or "").lower().split("\n")))
+    return [(i, x) for i, x in lines if x]
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, line_no, line, text): one row per line that is not blank."""
-    own = docs.select(common.row_key("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    named = own.select("row_key", "doc_id", "line_no", _normal(F.col("raw")).alias("text")).filter("text <> ''")
-    return named.select("row_key", "doc_id", "line_no", F.xxhash64("text").alias("line"), "text")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(common.row_key("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _with_prints(lines: DataFrame) -> DataFrame:
-    session.ship_package(lines.sparkSession)
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(row_key, doc_id, line_no, line, fp): one row per line that is not blank."""
+    session.ship_package(docs.sparkSession)
 
     def run(batches):
         for batch in common.chunks(batches):
-            prints = line_prints(common.column(batch, "text").to_pylist())
-            names = ["row_key", "doc_id", "line_no", "line"]
-            yield pa.RecordBatch.from_arrays([*(common.column(batch, n) for n in names), pa.array(prints.view(np.int64))], [*names, "fp"])
+            found = [normal_lines(t) for t in common.column(batch, "text").to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            texts = [x for own in found for _, x in own]
+            if not texts:
+                continue
+            names = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))
+            numbers = np.fromiter((i for own in found for i, _ in own), np.int32, len(texts))
+            yield pa.RecordBatch.from_arrays(
+                [common.column(batch, "row_key").take(pa.array(at)), common.column(batch, "doc_id").take(pa.array(at)), pa.array(numbers), pa.array(names.view(np.int64)), pa.array(line_prints(texts).view(np.int64))],
+                ["row_key", "doc_id", "line_no", "line", "fp"])
+
+    return _keyed(docs).mapInArrow(run, "row_key string, doc_id long, line_no int, line long, fp long")
+
+
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(line, text) of the lines in ``pairs``; few ids are sent along, more are joined."""
+    ids = common.stage(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "line_ids")
+    sent = None
+    if ids.count() <= BROADCAST_IDS:
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toPandas()["line"].to_numpy(np.int64)))
 
-    return lines.mapInArrow(run, "row_key string, doc_id long, line_no int, line long, fp long")
+    def run(batches):
+        known = set() if sent is None else set(sent.value.tolist())
+        for batch in common.chunks(batches):
+            own = {}
+            for text in common.column(batch, "text").to_pylist():
+                for _, line in normal_lines(text):
+                    name = int(np.uint64(xxhash.xxh64_intdigest(line)).astype(np.int64))
+                    if sent is None or name in known:
+                        own[name] = line
+            yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.string())], ["line", "text"])
+
+    found = _keyed(docs).select("text").mapInArrow(run, "line long, text string")
+    if sent is None:
+        found = found.join(ids, "line", "left_semi")
+    return common.stage(found.groupBy("line").agg(F.first("text").alias("text")), "line_texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -133,19 +165,10 @@ def bucket_pairs(bucket: np.ndarray, line: np.ndarray, fp: np.ndarray):
     return (line[left], line[right]), (bucket[large], line[large], fp[large])
 
 
-def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(line, text) of the lines in ``pairs``; few ids are broadcast, more are joined."""
-    ids = common.stage(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "line_ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    own = lines.select("line", "text").join(ids, "line", "left_semi")
-    return common.stage(own.groupBy("line").agg(F.first("text").alias("text")), "line_texts")
-
-
-def line_links(prints: DataFrame, lines: DataFrame) -> DataFrame:
+def line_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): verified links that connect whatever links, between different lines.
 
-    ``prints`` has one row (line, fp) per different line; ``lines`` gives their texts.
+    ``prints`` has one row (line, fp) per different line; ``docs`` gives their texts.
     """
     session.ship_package(prints.sparkSession)
     tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() * 10 // TASK_ROWS))
@@ -166,7 +189,7 @@ def line_links(prints: DataFrame, lines: DataFrame) -> DataFrame:
 
     found = common.stage(buckets(prints).repartition(tasks, "bucket").mapInArrow(run, "bucket long, a long, b long, fp long"), "buckets")
     pairs = found.filter("b is not null").select("a", "b").distinct()
-    links = common.stage(_verified(pairs, _texts(lines, pairs)), "line_links")
+    links = common.stage(_verified(pairs, texts_of(docs, pairs)), "line_links")
     dense = found.filter("b is null").select("bucket", F.col("a").alias("line"), "fp")
     if not dense.take(1):
         return links
@@ -181,22 +204,23 @@ def line_links(prints: DataFrame, lines: DataFrame) -> DataFrame:
     rest = common.stage(rest.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct(), "rest")
     if not rest.take(1):
         return links
-    return links.unionByName(_verified(rest, _texts(lines, rest)))
+    return links.unionByName(_verified(rest, texts_of(docs, rest)))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(row_key, dropped): numbers of the lines each document loses."""
-    seen = common.stage(_with_prints(lines_of(docs)), "lines")
+    seen = common.stage(lines_of(docs), "lines")
     first = F.min(F.struct("doc_id", "row_key", "line_no"))
     different = seen.groupBy("line").agg(F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
     different = common.stage(different, "different")
-    found = common.components(line_links(different.select("line", "fp"), lines_of(docs)))
+    found = common.components(line_links(different.select("line", "fp"), docs))
     grouped = different.select("line", "n").join(found.withColumnRenamed("node", "line"), "line", "left")
     # single lines are groups of their own and need no decision
     grouped = common.stage(grouped.filter("n > 1 or component is not null").select("line", F.coalesce("component", "line").alias("component")), "groups")
     within = seen.join(grouped, "line").select("component", "doc_id", "row_key", "line_no")
     within = common.stage(within, "repeats")
-    keep = within.groupBy("component").agg(first.alias("keep"))
+    # written once, so that both sides of the join are dealt anew and a hot group can be split
+    keep = common.stage(within.groupBy("component").agg(first.alias("keep")), "keep")
     lost = within.join(keep, "component").filter(F.struct("doc_id", "row_key", "line_no") != F.col("keep"))
     return lost.groupBy("row_key").agg(F.collect_set("line_no").alias("dropped"))
 

@@ -11,6 +11,7 @@ which need no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Mapping
 from functools import cache
@@ -26,51 +27,84 @@ from towerlens.llm import common
 WINDOW = 2048
 ROUND = 512
 END = 1
-#: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Distinct words whose ids a worker remembers in each of two generations.
+REMEMBERED = 400_000
+#: New words that are encoded at once.
+JOINED = 50_000
 #: Rows of (partition, source) starts that are broadcast at most; beyond, they are joined.
 BROADCAST_ROWS = 200_000
 
 
+_GAP = re.compile(r" (?=\s|$)")
+
+
 class WordIds:
-    """Token ids of whole texts. Byte-level BPE never merges across a space before a word,
-    so a text is cut there and each distinct piece is encoded once."""
+    """Token ids of whole texts. Byte-level BPE never merges across a space that stands
+    before a word, so a text is cut there and each distinct word is encoded once. New words
+    are encoded many at a time; as every token stands for a known number of bytes, the ids
+    fall back to their words by running sums."""
 
     def __init__(self, path: str, width: int = 2):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind, self.known = np.dtype(f"<u{width}"), {}
-
-    def pieces(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        plain = all(p and not p[0].isspace() for p in parts[1:])
-        if plain:
-            return [parts[0], *map(" ".__add__, parts[1:])]
-        out, gap = [parts[0]], 0
-        for p in parts[1:]:
+        self.kind = np.dtype(f"<u{width}")
+        # in the byte-level alphabet a token has one character per byte
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def plain(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    @staticmethod
+    def words(text: str) -> tuple[str, list[str]]:
+        """What stands before the first word cut, and the words without the space before them."""
+        first, *rest = text.split(" ")
+        if not _GAP.search(text):
+            return first, rest
+        out = []
+        for p in rest:
             if p and not p[0].isspace():
-                out.append(" " + p)
-            else:  # further white space belongs to what stands before it
+                out.append(p)
+            elif out:  # further white space belongs to what stands before it
                 out[-1] += " " + p
-        return out
+            else:
+                first += " " + p
+        return first, out
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        found, width = {}, self.kind.itemsize
+        for lo in range(0, len(new), JOINED):
+            some = new[lo:lo + JOINED]
+            parts = [" " + " ".join(some[i:i + 500]) for i in range(0, len(some), 500)]
+            ids = np.concatenate([np.asarray(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+            sizes = np.fromiter((len(w.encode()) for w in some), np.int64, len(some)) + 1
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes), "left") + 1
+            raw, at = ids.astype(self.kind).tobytes(), 0
+            for word, end in zip(some, (ends * width).tolist()):
+                found[word] = raw[at:end]
+                at = end
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [[t] if any(s in t for s in self.special) else self.pieces(t) for t in texts]
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
-        long = []
-        for lo in range(0, len(new), 50_000):
-            some = new[lo:lo + 50_000]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[piece] = np.asarray(found.ids, self.kind).tobytes()
-                if len(piece) > 64:
-                    long.append(piece)
-        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-        for piece in long:
-            del self.known[piece]
+            self.known, self.older = {}, self.known
+        cut = [None if any(s in t for s in self.special) else self.words(t) for t in texts]
+        new = {w for own in cut if own for w in own[1] if w not in self.known}
+        back = {w: self.older[w] for w in new if w in self.older}
+        self.known.update(back)
+        learned = self.learn([w for w in new if w not in back])
+        self.known.update(learned)
+        get = self.known.__getitem__
+        out = [self.plain(t) if own is None else (self.plain(own[0]) if own[0] else b"") + b"".join(map(get, own[1])) for t, own in zip(texts, cut)]
+        for word in learned:
+            if len(word) > 64:
+                del self.known[word]
         return out
 
 
