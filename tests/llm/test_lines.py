@@ -118,3 +118,20 @@ def test_query_hash(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(tuple(r) for r in op.query(spark, str(tmp_path)).collect())
     assert got == [(1, 2, 5, hashlib.sha256(b"a b\nc").hexdigest()), (2, 1, 1, hashlib.sha256(b"d").hexdigest())]
+
+
+def test_alignment_at_hand_is_an_upper_bound():
+    rng = random.Random(8)
+    sure = 0
+    for _ in range(300):
+        a = "".join(rng.choice("abc de") for _ in range(rng.randrange(120)))
+        b = list(a)
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(b) + 1)
+            b[at:at + rng.randrange(3)] = rng.choice(["", "x", "yz"])
+        b = "".join(b)
+        allowed = max(len(a), len(b)) // 5
+        if op.surely_similar(a, b, allowed):
+            sure += 1
+            assert distance(a, b) <= allowed
+    assert sure > 50 and op.surely_similar("", "", 0) and not op.surely_similar("a", "b", 0)

@@ -18,6 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from towerlens.llm import common
 BITS, SIMILARITY = 3, 0.8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Lines a bucket may hold to be compared pair by pair at once.
-SMALL = 4
+SMALL = 32
 #: Bucket rows per task.
 TASK_ROWS = 400_000
 #: Line ids that are broadcast at most; more are joined by a shuffle.
@@ -113,8 +114,33 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return common.stage(found.groupBy("line").agg(F.first("text").alias("text")), "line_texts")
 
 
+def surely_similar(a: str, b: str, allowed: int) -> bool:
+    """True only if an alignment of cost at most ``allowed`` is at hand: equal stretches, and
+    between them what it takes to reach the next 16 characters that agree."""
+    i = j = cost = 0
+    while cost <= allowed:
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            step = 256
+            while step > 1 and a[i:i + step] != b[j:j + step]:
+                step //= 2
+            i, j = min(len(a), i + step), min(len(b), j + step)
+        if i >= len(a) or j >= len(b):
+            return cost + max(len(a) - i, len(b) - j) <= allowed
+        for skip in (0, 1, 2, 3, 5, 8, 12, 18, 27, 40, 60, 90):
+            probe = a[i + skip:i + skip + 16]
+            at = b.find(probe, j, j + skip + 120) if len(probe) == 16 else -1
+            if at >= 0:
+                cost += max(skip, at - j)
+                i, j = i + skip, at
+                break
+        else:
+            return cost + max(len(a) - i, len(b) - j) <= allowed
+    return False
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (a, b) whose texts are similar enough."""
+    """Those (a, b) whose texts are similar enough: most by an alignment at hand, the rest
+    by their edit distance."""
     pairs = pairs.filter("a <> b").distinct()
     left = texts.select(F.col("line").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("line").alias("b"), F.col("text").alias("text_b"))
@@ -122,11 +148,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     # floor(0.2 * n) in whole numbers
     both = both.withColumn("allowed", F.expr("cast(greatest(char_length(text_a), char_length(text_b)) div 5 as int)"))
     both = both.filter("abs(char_length(text_a) - char_length(text_b)) <= allowed")
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(common.column(batch, c).to_pylist() for c in ("text_a", "text_b", "allowed")))
+            sure = pa.array([surely_similar(*r) for r in rows], pa.bool_())
+            # texts are needed further only where nothing is decided yet
+            blank = [pa.compute.if_else(sure, pa.scalar(""), common.column(batch, c)) for c in ("text_a", "text_b")]
+            yield pa.RecordBatch.from_arrays([common.column(batch, "a"), common.column(batch, "b"), *blank, common.column(batch, "allowed"), sure], ["a", "b", "text_a", "text_b", "allowed", "sure"])
+
+    both = both.select("a", "b", "text_a", "text_b", "allowed").mapInArrow(run, "a long, b long, text_a string, text_b string, allowed int, sure boolean")
     similar = F.expr("""
-        case when levenshtein(text_a, text_b, least(allowed, 8)) >= 0 then true
-             when allowed > 8 and levenshtein(text_a, text_b, least(allowed, 64)) >= 0 then true
-             when allowed > 64 and levenshtein(text_a, text_b, least(allowed, 512)) >= 0 then true
-             when allowed > 512 then levenshtein(text_a, text_b, allowed) >= 0
+        case when sure then true
+             when levenshtein(text_a, text_b, least(allowed, 64)) >= 0 then true
+             when allowed > 64 then levenshtein(text_a, text_b, allowed) >= 0
              else false end""")
     return both.filter(similar).select("a", "b")
 
