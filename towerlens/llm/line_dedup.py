@@ -3,10 +3,10 @@
 Lines are normalised (lower case, white space as single spaces) and get a SimHash over their byte 5-grams.
 Two lines link if their SimHashes differ in at most three bits and their edit similarity is
 at least 0.8. Of five blocks of the SimHash two must then be equal, so candidates meet on
-one of ten block pairs. A small bucket gives its candidate pairs; in a large one every line
-is first compared with one leader. Once those links are verified and connected, only lines
-outside the main component of a large bucket are compared with the rest of it, which keeps
-groups of near copies linear and loses no link between components. One occurrence of each
+one of ten block pairs. A small bucket gives all its candidate pairs; a large one gives a
+spanning forest of them, one pair per line at most. Once those links are verified and
+connected, only lines outside the main component of a large bucket are paired with the rest
+of it, which keeps groups of near copies linear and loses no link between components. One occurrence of each
 connected group stays, the one with the smallest (doc_id, line number).
 
 Lines are named by 64-bit hashes of their normalised text.
@@ -178,7 +178,7 @@ def buckets(prints: DataFrame) -> DataFrame:
 
 def bucket_pairs(bucket: np.ndarray, line: np.ndarray, fp: np.ndarray):
     """Candidates of whole buckets: (bucket, a, b, dense) with b null (-1) for each member of
-    a large bucket; near pairs of small buckets, near pairs with the leader of large ones."""
+    a large bucket; near pairs of small buckets, and of large ones near pairs that connect all near lines."""
     order = np.lexsort((line, bucket))
     bucket, line, fp = bucket[order], line[order], fp[order]
     starts = np.nonzero(np.diff(bucket, prepend=bucket[:1] - 1))[0]
@@ -193,10 +193,17 @@ def bucket_pairs(bucket: np.ndarray, line: np.ndarray, fp: np.ndarray):
         at = at[np.bitwise_count(fp[at] ^ fp[at + ahead]) <= BITS]
         left.append(at), right.append(at + ahead)
     large = np.nonzero(size > SMALL)[0]
-    lead = large - place[large]
-    near = (place[large] > 0) & (np.bitwise_count(fp[large] ^ fp[lead]) <= BITS)
-    left.append(lead[near]), right.append(large[near])
-    left, right = np.concatenate(left), np.concatenate(right)
+    for start in starts[sizes > SMALL].tolist():
+        todo = np.arange(start, start + int(size[start]))
+        while len(todo):  # walk near lines; every line is reached over one near pair
+            walk, todo = [int(todo[0])], todo[1:]
+            while walk and len(todo):
+                at = walk.pop()
+                near = np.bitwise_count(fp[todo] ^ fp[at]) <= BITS
+                reached, todo = todo[near], todo[~near]
+                left.append(np.full(len(reached), at)), right.append(reached)
+                walk += reached.tolist()
+    left, right = (np.concatenate([np.zeros(0, int), *x]) for x in (left, right))
     return (line[left], line[right]), (bucket[large], line[large], fp[large])
 
 
