@@ -177,8 +177,8 @@ def buckets(prints: DataFrame) -> DataFrame:
 
 
 def bucket_pairs(bucket: np.ndarray, line: np.ndarray, fp: np.ndarray):
-    """Candidates of whole buckets: (bucket, a, b, dense) with b null (-1) for each member of
-    a large bucket; near pairs of small buckets, and of large ones near pairs that connect all near lines."""
+    """Near pairs (a, b) of small buckets, of large ones those that connect all near lines;
+    then (bucket, line, fp) of each member of a large bucket."""
     order = np.lexsort((line, bucket))
     bucket, line, fp = bucket[order], line[order], fp[order]
     starts = np.nonzero(np.diff(bucket, prepend=bucket[:1] - 1))[0]
