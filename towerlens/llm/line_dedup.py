@@ -207,8 +207,8 @@ def bucket_pairs(bucket: np.ndarray, line: np.ndarray, fp: np.ndarray):
     return (line[left], line[right]), (bucket[large], line[large], fp[large])
 
 
-def line_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): verified links that connect whatever links, between different lines.
+def line_components(prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component): connected components of the verified links between different lines.
 
     ``prints`` has one row (line, fp) per different line; ``docs`` gives their texts.
     """
@@ -233,10 +233,10 @@ def line_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = found.filter("b is not null").select("a", "b").distinct()
     links = common.stage(_verified(pairs, texts_of(docs, pairs)), "line_links")
     dense = found.filter("b is null").select("bucket", F.col("a").alias("line"), "fp")
+    known = common.components(links)
     if not dense.take(1):
-        return links
-    known = common.components(links).select(F.col("node").alias("line"), "component")
-    dense = common.stage(dense.join(known, "line", "left").withColumn("component", F.coalesce("component", "line")), "dense")
+        return known
+    dense = common.stage(dense.join(known.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line")), "dense")
     counted = dense.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = counted.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     outside = dense.join(main, "bucket").filter("component <> main").drop("main", "parts")
@@ -245,8 +245,8 @@ def line_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
     rest = outside.join(other, "bucket").filter(near & (F.col("component") != F.col("other_component")))
     rest = common.stage(rest.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct(), "rest")
     if not rest.take(1):
-        return links
-    return links.unionByName(_verified(rest, texts_of(docs, rest)))
+        return known
+    return common.components(links.unionByName(_verified(rest, texts_of(docs, rest))))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "row_key", "line_no"))
     different = seen.groupBy("line").agg(F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
     different = common.stage(different, "different")
-    found = common.components(line_links(different.select("line", "fp"), docs))
+    found = line_components(different.select("line", "fp"), docs)
     grouped = different.select("line", "n").join(found.withColumnRenamed("node", "line"), "line", "left")
     # single lines are groups of their own and need no decision
     grouped = common.stage(grouped.filter("n > 1 or component is not null").select("line", F.coalesce("component", "line").alias("component")), "groups")
