@@ -3,11 +3,13 @@
 Lines are normalised (lower case, white space as single spaces) and get a SimHash over their byte 5-grams.
 Two lines link if their SimHashes differ in at most three bits and their edit similarity is
 at least 0.8. Of five blocks of the SimHash two must then be equal, so candidates meet on
-one of ten block pairs. A small bucket gives all its candidate pairs; a large one gives a
-spanning forest of them, one pair per line at most. Once those links are verified and
-connected, only lines outside the main component of a large bucket are paired with the rest
-of it, which keeps groups of near copies linear and loses no link between components. One occurrence of each
-connected group stays, the one with the smallest (doc_id, line number).
+one of ten block pairs; lines whose lengths rule the similarity out are no candidates. A
+small bucket gives all its candidate pairs; a large one gives a spanning forest of them, one
+pair per line at most. Once those links are verified and connected, two steps look at what
+is left in large buckets: first one pair, nearest in length, for every two components with
+candidates between them, then, after connecting again, all candidates between components.
+That keeps groups of near copies linear and loses no link between components. One occurrence
+of each connected group stays, the one with the smallest (doc_id, line number).
 
 Lines are named by 64-bit hashes of their normalised text.
 """
@@ -32,6 +34,8 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 SMALL = 32
 #: Bucket rows per task.
 TASK_ROWS = 400_000
+#: Pairs of texts compared per task.
+TASK_PAIRS = 1_000
 #: Line ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 GRAM = 5
@@ -71,7 +75,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, line_no, line, fp): one row per line that is not blank."""
+    """(row_key, doc_id, line_no, line, fp, length): one row per line that is not blank."""
     session.ship_package(docs.sparkSession)
 
     def run(batches):
@@ -83,11 +87,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 continue
             names = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))
             numbers = np.fromiter((i for own in found for i, _ in own), np.int32, len(texts))
+            lengths = np.fromiter(map(len, texts), np.int32, len(texts))
             yield pa.RecordBatch.from_arrays(
-                [common.column(batch, "row_key").take(pa.array(at)), common.column(batch, "doc_id").take(pa.array(at)), pa.array(numbers), pa.array(names.view(np.int64)), pa.array(line_prints(texts).view(np.int64))],
-                ["row_key", "doc_id", "line_no", "line", "fp"])
+                [common.column(batch, "row_key").take(pa.array(at)), common.column(batch, "doc_id").take(pa.array(at)), pa.array(numbers), pa.array(names.view(np.int64)), pa.array(line_prints(texts).view(np.int64)), pa.array(lengths)],
+                ["row_key", "doc_id", "line_no", "line", "fp", "length"])
 
-    return _keyed(docs).mapInArrow(run, "row_key string, doc_id long, line_no int, line long, fp long")
+    return _keyed(docs).mapInArrow(run, "row_key string, doc_id long, line_no int, line long, fp long, length int")
 
 
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -142,6 +147,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those (a, b) whose texts are similar enough: most by an alignment at hand, the rest
     by their edit distance."""
     pairs = pairs.filter("a <> b").distinct()
+    # pairs are few rows and much work, so their number sets the tasks
+    pairs = pairs.repartition(max(pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // TASK_PAIRS)), "a", "b")
     left = texts.select(F.col("line").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("line").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b")
@@ -167,20 +174,26 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def buckets(prints: DataFrame) -> DataFrame:
-    """(bucket, line, fp): every line under each of its ten block pairs."""
+    """(bucket, line, fp, length): every line under each of its ten block pairs."""
     keys = []
     for i, ((at, width), (at2, width2)) in enumerate(combinations(BLOCKS, 2)):
         first = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
         second = F.shiftrightunsigned("fp", at2).bitwiseAND(F.lit((1 << width2) - 1))
         keys.append(F.shiftleft(first, width2).bitwiseOR(second).bitwiseOR(F.lit(i << 26)).cast("int"))
-    return prints.select(F.explode(F.array(*keys)).alias("bucket"), "line", "fp")
+    return prints.select(F.explode(F.array(*keys)).alias("bucket"), "line", "fp", "length")
 
 
-def bucket_pairs(bucket: np.ndarray, line: np.ndarray, fp: np.ndarray):
+def near(fp: np.ndarray, length: np.ndarray, other_fp: np.ndarray, other_length: np.ndarray) -> np.ndarray:
+    """Where two lines are candidates: few bits differ and their lengths allow the similarity."""
+    close = np.abs(length - other_length) <= np.maximum(length, other_length) // 5
+    return close & (np.bitwise_count(fp ^ other_fp) <= BITS)
+
+
+def bucket_pairs(bucket: np.ndarray, line: np.ndarray, fp: np.ndarray, length: np.ndarray):
     """Near pairs (a, b) of small buckets, of large ones those that connect all near lines;
-    then (bucket, line, fp) of each member of a large bucket."""
+    then (bucket, line, fp, length) of each member of a large bucket."""
     order = np.lexsort((line, bucket))
-    bucket, line, fp = bucket[order], line[order], fp[order]
+    bucket, line, fp, length = bucket[order], line[order], fp[order], length[order]
     starts = np.nonzero(np.diff(bucket, prepend=bucket[:1] - 1))[0]
     sizes = np.diff(np.append(starts, len(bucket)))
     place = np.arange(len(bucket)) - np.repeat(starts, sizes)
@@ -190,7 +203,7 @@ def bucket_pairs(bucket: np.ndarray, line: np.ndarray, fp: np.ndarray):
         at = np.nonzero((size <= SMALL) & (place + ahead < size))[0]
         if not len(at):
             break
-        at = at[np.bitwise_count(fp[at] ^ fp[at + ahead]) <= BITS]
+        at = at[near(fp[at], length[at], fp[at + ahead], length[at + ahead])]
         left.append(at), right.append(at + ahead)
     large = np.nonzero(size > SMALL)[0]
     for start in starts[sizes > SMALL].tolist():
@@ -199,63 +212,116 @@ def bucket_pairs(bucket: np.ndarray, line: np.ndarray, fp: np.ndarray):
             walk, todo = [int(todo[0])], todo[1:]
             while walk and len(todo):
                 at = walk.pop()
-                near = np.bitwise_count(fp[todo] ^ fp[at]) <= BITS
-                reached, todo = todo[near], todo[~near]
+                found = near(fp[todo], length[todo], fp[at], length[at])
+                reached, todo = todo[found], todo[~found]
                 left.append(np.full(len(reached), at)), right.append(reached)
                 walk += reached.tolist()
     left, right = (np.concatenate([np.zeros(0, int), *x]) for x in (left, right))
-    return (line[left], line[right]), (bucket[large], line[large], fp[large])
+    return (line[left], line[right]), (bucket[large], line[large], fp[large], length[large])
+
+
+def rest_pairs(bucket, line, fp, length, component, every: bool):
+    """Near pairs between different components, as two arrays of places: of every two
+    components of a bucket the one nearest in length, or all of them.
+
+    Only lines outside the main component of a bucket look around, so a bucket that is
+    connected costs nothing.
+    """
+    order = np.lexsort((line, bucket))
+    starts = np.nonzero(np.diff(bucket[order], prepend=bucket[order][:1] - 1))[0]
+    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
+    for own in np.split(order, starts[1:]):
+        names, which, sizes = np.unique(component[own], return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            continue
+        main, best = sizes.argmax(), {}
+        for k in np.nonzero(which != main)[0].tolist():
+            at = own[k]
+            # two lines that both look around meet once
+            ask = (which == main) | (which > which[k])
+            found = np.nonzero(ask & near(fp[own], length[own], fp[at], length[at]))[0]
+            if every:
+                left.append(np.full(len(found), at)), right.append(own[found])
+                continue
+            gap = np.abs(length[own[found]] - length[at])
+            found = found[np.lexsort((line[own[found]], gap))]
+            for j in found[np.unique(which[found], return_index=True)[1]].tolist():
+                ends = (int(which[k]), int(which[j]))
+                step = (int(abs(length[own[j]] - length[at])), int(at), int(own[j]))
+                best[ends] = min(best.get(ends, step), step)
+        left.append(np.array([x[1] for x in best.values()], int)), right.append(np.array([x[2] for x in best.values()], int))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _whole(batches, *names: str) -> list[np.ndarray]:
+    """The named columns of all batches of a task."""
+    parts = [[common.column(batch, n).to_numpy(zero_copy_only=False) for n in names] for batch in batches]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64) for _ in names]
+
+
+def _between(dense: DataFrame, tasks: int, every: bool) -> DataFrame:
+    """(a, b, component_a, component_b): see ``rest_pairs``."""
+
+    def run(batches):
+        bucket, line, fp, length, component = _whole(batches, "bucket", "line", "fp", "length", "component")
+        at, to = rest_pairs(bucket, line, fp.view(np.uint64), length, component, every)
+        turn = line[at] > line[to]
+        at, to = np.where(turn, to, at), np.where(turn, at, to)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (line[at], line[to], component[at], component[to])], ["a", "b", "component_a", "component_b"])
+
+    found = dense.repartition(tasks, "bucket").mapInArrow(run, "a long, b long, component_a long, component_b long")
+    return common.stage(found.distinct(), "rest")
 
 
 def line_components(prints: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component): connected components of the verified links between different lines.
 
-    ``prints`` has one row (line, fp) per different line; ``docs`` gives their texts.
+    ``prints`` has one row (line, fp, length) per different line; ``docs`` gives their texts.
     """
     session.ship_package(prints.sparkSession)
     tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() * 10 // TASK_ROWS))
 
     def run(batches):
-        columns = [[], [], []]
-        for batch in batches:
-            for kept, name in zip(columns, ("bucket", "line", "fp")):
-                kept.append(common.column(batch, name).to_numpy(zero_copy_only=False))
-        if not columns[0]:
-            return
-        bucket, line, fp = (np.concatenate(c) for c in columns)
-        (a, b), (bucket, line, fp) = bucket_pairs(bucket, line, fp.view(np.uint64))
+        bucket, line, fp, length = _whole(batches, "bucket", "line", "fp", "length")
+        (a, b), (bucket, line, fp, length) = bucket_pairs(bucket, line, fp.view(np.uint64), length)
         none = lambda n: pa.nulls(n, pa.int64())
-        names = ["bucket", "a", "b", "fp"]
-        yield pa.RecordBatch.from_arrays([none(len(a)), pa.array(a), pa.array(b), none(len(a))], names)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(line), none(len(line)), pa.array(fp.view(np.int64))], names)
-
-    found = common.stage(buckets(prints).repartition(tasks, "bucket").mapInArrow(run, "bucket long, a long, b long, fp long"), "buckets")
-    pairs = found.filter("b is not null").select("a", "b").distinct()
-    links = common.stage(_verified(pairs, texts_of(docs, pairs)), "line_links")
-    dense = found.filter("b is null").select("bucket", F.col("a").alias("line"), "fp")
-    known = common.components(links)
+        names = ["bucket", "a", "b", "fp", "length"]
+        yield pa.RecordBatch.from_arrays([none(len(a)), pa.array(a), pa.array(b), none(len(a)), none(len(a))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(line), none(len(line)), pa.array(fp.view(np.int64)), pa.array(length.astype(np.int64))], names)
+
+    found = common.stage(buckets(prints).repartition(tasks, "bucket").mapInArrow(run, "bucket long, a long, b long, fp long, length long"), "buckets")
+    pairs = common.stage(found.filter("b is not null").select("a", "b").distinct(), "pairs")
+    known = common.components(_verified(pairs, texts_of(docs, pairs)))
+    dense = found.filter("b is null").select("bucket", F.col("a").alias("line"), "fp", "length")
     if not dense.take(1):
         return known
-    dense = common.stage(dense.join(known.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line")), "dense")
-    counted = dense.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = counted.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    outside = dense.join(main, "bucket").filter("component <> main").drop("main", "parts")
-    other = dense.select("bucket", F.col("line").alias("other"), F.col("fp").alias("other_fp"), F.col("component").alias("other_component"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= BITS
-    rest = outside.join(other, "bucket").filter(near & (F.col("component") != F.col("other_component")))
-    rest = common.stage(rest.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct(), "rest")
-    if not rest.take(1):
-        return known
-    return common.components(links.unionByName(_verified(rest, texts_of(docs, rest))))
+    dense = dense.join(known.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
+    dense = common.stage(dense, "dense")
+    for every in (False, True):
+        rest = _between(dense, tasks, every)
+        if not rest.take(1):  # components without any pair stay without one
+            break
+        links = _verified(rest.select("a", "b"), texts_of(docs, rest)).join(rest, ["a", "b"])
+        merged = common.components(links.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
+        if not merged.take(1):
+            continue
+        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        moved = F.coalesce("to", "component").alias("component")
+        # a line without links so far is a component of its own and becomes a node now
+        alone = merged.select(F.col("component").alias("node"), F.col("to").alias("component")).join(known, "node", "left_anti")
+        known = common.stage(known.join(merged, "component", "left").select("node", moved).unionByName(alone), "components")
+        if not every:
+            dense = common.stage(dense.join(merged, "component", "left").select("bucket", "line", "fp", "length", moved), "dense")
+    return known
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(row_key, dropped): numbers of the lines each document loses."""
     seen = common.stage(lines_of(docs), "lines")
     first = F.min(F.struct("doc_id", "row_key", "line_no"))
-    different = seen.groupBy("line").agg(F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
+    different = seen.groupBy("line").agg(F.first("fp").alias("fp"), F.first("length").alias("length"), F.count(F.lit(1)).alias("n"))
     different = common.stage(different, "different")
-    found = line_components(different.select("line", "fp"), docs)
+    found = line_components(different.select("line", "fp", "length"), docs)
     grouped = different.select("line", "n").join(found.withColumnRenamed("node", "line"), "line", "left")
     # single lines are groups of their own and need no decision
     grouped = common.stage(grouped.filter("n > 1 or component is not null").select("line", F.coalesce("component", "line").alias("component")), "groups")
