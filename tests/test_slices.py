@@ -148,3 +148,16 @@ def test_descending_order(spark):
     sliced = slices.slice_groups(df, (), (Order("s", descending=True),))
     got = {r["s"]: r["n"] for r in slices.running(sliced, {"n": F.lit(1)}).rows().collect()}
     assert got == {3.0: 1, 2.0: 2, 1.0: 3}
+
+
+def test_null_keys_do_not_depend_on_the_limit(spark):
+    rows = [(None if i % 2 else "a", None if i % 3 else "x", i) for i in range(24)]
+    df = spark.createDataFrame(rows, "k string, name string, t int")
+    found = []
+    for limit in (1_000, 3):
+        sliced = slices.slice_groups(df, ("k",), ("t",), limit)
+        counted = slices.running(sliced, {"n": F.lit(1)}, extra=["name"])
+        total = slices.with_group_total(counted, {"all": F.lit(1)})
+        found.append(sorted(tuple(r) for r in total.rows().select("t", "n", "all").collect()))
+    want = [(t, sum(r[:2] == rows[t][:2] for r in rows[:t + 1]), 12) for t in range(24)]
+    assert found == [want, want]

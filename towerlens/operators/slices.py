@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -57,6 +58,13 @@ def _orders(order: Sequence[str | Order]) -> tuple[Order, ...]:
     return tuple(o if isinstance(o, Order) else Order(o) for o in order)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "left") -> DataFrame:
+    """Join by name where null keys meet each other."""
+    own = right.withColumnsRenamed({n: f"_right_{n}" for n in names})
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_right_{n}")) for n in names])
+    return left.join(own, same, how).drop(*[f"_right_{n}" for n in names])
+
+
 def slice_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -80,8 +88,8 @@ def slice_groups(
         return Sliced(df, keys, orders, split=False)
     rows = hot.agg(F.sum("_n")).first()[0]
     hot_keys = hot.select(*keys)
-    cold = df.join(hot_keys, list(keys), "left_anti").withColumn(SLICE, F.lit(0))
-    busy = _range_sliced(df.join(hot_keys, list(keys), "left_semi"), keys, orders, rows, limit)
+    cold = join_null_safe(df, hot_keys, keys, "left_anti").withColumn(SLICE, F.lit(0))
+    busy = _range_sliced(join_null_safe(df, hot_keys, keys, "left_semi"), keys, orders, rows, limit)
     return Sliced(cold.unionByName(busy), keys, orders, split=True)
 
 
@@ -148,7 +156,7 @@ def running(
         *groups, SLICE,
         *[aggregate(f"_total_{name}").over(carried).alias(f"_carry_{name}") for name in values],
     )
-    joined = sliced.df.withColumns(local).join(carry, [*groups, SLICE], "left")
+    joined = join_null_safe(sliced.df.withColumns(local), carry, [*groups, SLICE])
     out = joined.withColumns({
         name: combine(F.col(f"_carry_{name}"), F.col(name)) for name in values
     }).drop(*[f"_carry_{name}" for name in values])
@@ -162,7 +170,7 @@ def with_group_total(sliced: Sliced, values: Mapping[str, Column]) -> Sliced:
             *[F.sum(value).alias(name) for name, value in values.items()]
         )
         df = (
-            sliced.df.join(totals, list(sliced.keys), "left")
+            join_null_safe(sliced.df, totals, sliced.keys)
             if sliced.keys
             else sliced.df.withColumns({n: totals.select(n).scalar() for n in values})
         )

@@ -64,7 +64,7 @@ def _buckets(events: DataFrame, counted: Sequence[str], limit: int | None) -> Da
     """One row per (entity, bucket) with counts, target flags and the latest critical pair.
 
     ``_pair`` is the bucket of the earlier event of an adjacent critical pair whose later
-    event lies in this bucket. The only shuffle is by entity.
+    event lies in this bucket. All shuffles are by entity.
     """
     sliced = slices.slice_groups(events, ("entity",), ("_us", "_tie"), limit)
     haloed = slices.with_previous_rows(sliced, 1)
@@ -80,13 +80,12 @@ def _buckets(events: DataFrame, counted: Sequence[str], limit: int | None) -> Da
         *[F.max(f"_{t}").alias(f"_{t}") for t in TARGET_FLAGS],
         F.max("_pair").alias("_pair"),
     ]
-    if not paired.split:
-        # the first row's attributes are constant per entity, so they can be grouping keys
-        opening = paired.window().rowsBetween(Window.unboundedPreceding, 0)
-        rows = paired.df.withColumns({a: F.first(a, ignorenulls=True).over(opening) for a in known})
-        return rows.groupBy("entity", "_idx", *known).agg(*measures)
+    counts = paired.rows().groupBy("entity", "_idx").agg(*measures)
+    if not known:
+        return counts
+    # an entity's first attributes come from all its rows, also when its first row lacks one
     attributes = first_attributes(events, names=known, order=("_us", "_tie"))
-    return paired.rows().groupBy("entity", "_idx").agg(*measures).join(attributes, "entity")
+    return slices.join_null_safe(counts, attributes, ["entity"], "inner")
 
 
 def _grid_rows(buckets: DataFrame, lo: Column, hi: Column, counted, reach: int, dense: bool) -> DataFrame:

@@ -239,7 +239,7 @@ def permutation_importance(
             factor = _coprime(chooser, rows)
             shift = chooser.randrange(rows) if rows else 0
             moved = numbered.select(
-                F.pmod(F.col("_at") * factor + shift, F.lit(rows)).alias("_at"), F.col(feature).alias("_moved"))
+                F.pmod(F.col("_at").cast("decimal(20,0)") * F.lit(factor).cast("decimal(18,0)") + F.lit(shift).cast("decimal(18,0)"), F.lit(rows).cast("decimal(18,0)")).cast("bigint").alias("_at"), F.col(feature).alias("_moved"))
             shuffled = numbered.join(moved, "_at").withColumn(feature, F.col("_moved")).drop("_moved")
             drops.append((feature, repeat, float(base - precision(shuffled).first()[0])))
     table = df.sparkSession.createDataFrame(drops, "feature string, repeat int, drop double")

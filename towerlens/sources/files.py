@@ -129,9 +129,9 @@ def _any_file(spark: SparkSession, pattern: str) -> bool:
 
 
 def read_through(spark: SparkSession, cache: str, source) -> DataFrame:
-    """The cached Parquet when present; otherwise ``source()`` is written there first."""
-    if not session.path_exists(spark, cache):
-        source().write.parquet(cache)
+    """The cached Parquet when complete; otherwise ``source()`` is written there first."""
+    if not session.path_exists(spark, f"{cache}/_SUCCESS"):
+        source().write.mode("overwrite").parquet(cache)
     return spark.read.parquet(cache)
 
 

@@ -110,8 +110,14 @@ def purge(spark: SparkSession, path: str, as_of: datetime, days: int = RETENTION
             .where(F.col("event_time") >= F.lit(cutoff)).drop(PARTITION)
         )
         kept.write.mode("overwrite").parquet(staging)
-        fs.delete(jvm_path(folder), True)
-        fs.rename(jvm_path(staging), jvm_path(folder))
+        # the old rows stay, under a name that readers skip, until the new ones are in place
+        old = f"{path}/_old-{boundary}"
+        for source, target in ((folder, old), (staging, folder)):
+            if not fs.rename(jvm_path(source), jvm_path(target)):
+                if source == staging:
+                    fs.rename(jvm_path(old), jvm_path(folder))
+                raise OSError(f"cannot rename {source} to {target}")
+        fs.delete(jvm_path(old), True)
         rewritten = boundary
     dropped = [d for d in dates if d < boundary]
     for date in dropped:
