@@ -75,7 +75,7 @@ def test_daily_and_upload(spark, trained, tmp_path):
     now = datetime(2024, 2, 20)
     result = daily.run(spark, folder, str(tmp_path / "base"), SETTINGS, now, BOUNDARY, training.boosted(iterations=2, depth=2))
     assert result.inserted > 0 and result.towers > 0 and result.predictions.count() > 0
-    again = daily.ingest(files.load_folder(spark, folder).rows, str(tmp_path / "base/history"), "daily_feed", now)
+    again = daily.ingest(files.load_folder(spark, folder).rows, str(tmp_path / "base/history"), None, now)
     assert again[1] == 0
     trained.model.save(spark, str(tmp_path / "model"))
     got = upload.run(spark, folder, str(tmp_path / "uploads"), str(tmp_path / "model"), now)

@@ -23,18 +23,24 @@ class DailyResult:
     towers: int
 
 
-def ingest(raw: DataFrame, history_path: str, source: str | None, now: datetime) -> tuple[DataFrame, int]:
-    """Clean, choose the towers to model, append their alarms to the history."""
+def ingest(raw: DataFrame, history_path: str, source: str | None, now: datetime,
+           choose: bool = False) -> tuple[DataFrame, int]:
+    """Clean the alarms and append them to the history.
+
+    Without ``source`` each row is named by the file it came from, so further files add
+    rows and repeated ones do not. ``choose`` keeps only the towers chosen for a model.
+    """
     # kept once: selection, history and features all start from the cleaned rows
     alarms = session.cut_lineage(clean.with_entity(clean.clean_alarms(raw)))
-    chosen = explore.select_towers(alarms, "entity", "is_cell_unavailable")
-    return chosen, history.append(chosen, history_path, source, now)
+    if choose:
+        alarms = explore.select_towers(alarms, "entity", "is_cell_unavailable")
+    return alarms, history.append(alarms, history_path, source, now)
 
 
 def run(spark: SparkSession, folder: str, base: str, settings: Settings, now: datetime, boundary: str,
         estimator=None) -> DailyResult:
     loaded = files.load_folder(spark, folder)
-    alarms, inserted = ingest(loaded.rows, f"{base}/history", "daily_feed", now)
+    alarms, inserted = ingest(loaded.rows, f"{base}/history", None, now)
     purged = history.purge(spark, f"{base}/history", now)
     matrix = rebuild.build_features(alarms, settings, f"{base}/features")
     predictions = rebuild.score(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from towerlens import session
 from towerlens.operators import columns
@@ -56,15 +56,16 @@ def append(alarms: DataFrame, path: str, file_source: str | None, ingested: date
     if not again and session.path_exists(spark, path):
         known = read(spark, path).select("file_source").distinct()
         rows = rows.join(known, "file_source", "left_anti").select(*rows.columns)
-    seen = Observation()
+    inserted = rows.count()
+    if not inserted:
+        return 0
     spread = F.pmod(F.xxhash64("site_id", "node_identifier", "event_time"), F.lit(8))
-    counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
     (
-        counted.repartition(PARTITION, spread)
+        rows.repartition(PARTITION, spread)
         .sortWithinPartitions(PARTITION, "event_time")
         .write.mode("append").partitionBy(PARTITION).parquet(path)
     )
-    return int(seen.get["rows"])
+    return inserted
 
 
 def summary(rows: DataFrame) -> DataFrame:
