@@ -20,7 +20,7 @@ def test_held_out_accuracy(spark):
 
 def test_edge_cases(spark, tmp_path):
     rows = [(i, t, l) for i, (t, l) in enumerate([("the cat", "en"), ("der hund", "de"), (None, "fr"), ("x", None), ("", "en")] * 10)]
-    rows += [(100, None, "en"), (101, "", "en"), (102, "12 !? _", "de"), (103, "cat " * 100_000, "en"), (103, "cat", None), (None, "the cat", "en"), (104, "日本", "de")]
+    rows += [(100, None, "en"), (101, "", "en"), (102, "12 !? _ ½²", "de"), (103, "cat " * 100_000, "en"), (103, "cat", None), (None, "the cat", "en"), (104, "日本", "de")]
     frame = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, score string")
     frame.write.parquet(str(tmp_path / "documents.parquet"))
     got = [(r.doc_id, r.lang_pred, r.held_out) for r in op.query(spark, str(tmp_path)).collect()]
