@@ -36,8 +36,8 @@ SMALL = 32
 TASK_ROWS = 400_000
 #: Pairs of texts compared per task.
 TASK_PAIRS = 1_000
-#: Line ids that are broadcast at most; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Bytes of text whose SimHashes are taken at once; arrays of this size stay in a core's cache.
+PRINT_BYTES = 250_000
 GRAM = 5
 
 
@@ -79,7 +79,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     session.ship_package(docs.sparkSession)
 
     def run(batches):
-        for batch in common.chunks(batches):
+        for batch in common.chunks(batches, limit=PRINT_BYTES):
             found = [normal_lines(t) for t in common.column(batch, "text").to_pylist()]
             at = np.repeat(np.arange(len(found)), [len(x) for x in found])
             texts = [x for own in found for _, x in own]
@@ -95,27 +95,26 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "row_key string, doc_id long, line_no int, line long, fp long, length int")
 
 
-def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(line, text) of the lines in ``pairs``; few ids are sent along, more are joined."""
-    ids = common.stage(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "line_ids")
-    sent = None
-    if ids.count() <= BROADCAST_IDS:
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toPandas()["line"].to_numpy(np.int64)))
+def texts_of(docs: DataFrame, seen: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(line, text) of the lines in ``pairs``: each is read from one document that ``seen``,
+    the table of :func:`lines_of`, names for it; other documents are not split."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
+    place = F.min(F.struct("row_key", "line_no")).alias("at")
+    wanted = seen.select("line", "row_key", "line_no").join(ids, "line", "left_semi").groupBy("line").agg(place)
+    wanted = wanted.groupBy(F.col("at.row_key").alias("row_key")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "line")).alias("wanted"))
+    own = _keyed(docs).select("row_key", "text").join(common.stage(wanted, "wanted"), "row_key").select("text", "wanted")
 
     def run(batches):
-        known = set() if sent is None else set(sent.value.tolist())
         for batch in common.chunks(batches):
-            own = {}
-            for text in common.column(batch, "text").to_pylist():
-                for _, line in normal_lines(text):
-                    name = int(np.uint64(xxhash.xxh64_intdigest(line)).astype(np.int64))
-                    if sent is None or name in known:
-                        own[name] = line
-            yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.string())], ["line", "text"])
-
-    found = _keyed(docs).select("text").mapInArrow(run, "line long, text string")
-    if sent is None:
-        found = found.join(ids, "line", "left_semi")
+            names, texts = [], []
+            for text, chosen in zip(common.column(batch, "text").to_pylist(), common.column(batch, "wanted").to_pylist()):
+                parts = text.lower().split("\n")
+                names += [x["line"] for x in chosen]
+                texts += [" ".join(parts[x["line_no"]].split()) for x in chosen]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.string())], ["line", "text"])
+
+    found = own.mapInArrow(run, "line long, text string")
+    # rows equal in doc_id and text give a line more than once
     return common.stage(found.groupBy("line").agg(F.first("text").alias("text")), "line_texts")
 
 
@@ -273,10 +272,11 @@ def _between(dense: DataFrame, tasks: int, every: bool) -> DataFrame:
     return common.stage(found.distinct(), "rest")
 
 
-def line_components(prints: DataFrame, docs: DataFrame) -> DataFrame:
+def line_components(prints: DataFrame, docs: DataFrame, seen: DataFrame) -> DataFrame:
     """(node, component): connected components of the verified links between different lines.
 
-    ``prints`` has one row (line, fp, length) per different line; ``docs`` gives their texts.
+    ``prints`` has one row (line, fp, length) per different line; ``docs`` and
+    its lines ``seen`` give their texts.
     """
     session.ship_package(prints.sparkSession)
     tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() * 10 // TASK_ROWS))
@@ -291,7 +291,7 @@ def line_components(prints: DataFrame, docs: DataFrame) -> DataFrame:
 
     found = common.stage(buckets(prints).repartition(tasks, "bucket").mapInArrow(run, "bucket long, a long, b long, fp long, length long"), "buckets")
     pairs = common.stage(found.filter("b is not null").select("a", "b").distinct(), "pairs")
-    known = common.components(_verified(pairs, texts_of(docs, pairs)))
+    known = common.components(_verified(pairs, texts_of(docs, seen, pairs)))
     dense = found.filter("b is null").select("bucket", F.col("a").alias("line"), "fp", "length")
     if not dense.take(1):
         return known
@@ -301,7 +301,7 @@ def line_components(prints: DataFrame, docs: DataFrame) -> DataFrame:
         rest = _between(dense, tasks, every)
         if not rest.take(1):  # components without any pair stay without one
             break
-        links = _verified(rest.select("a", "b"), texts_of(docs, rest)).join(rest, ["a", "b"])
+        links = _verified(rest.select("a", "b"), texts_of(docs, seen, rest)).join(rest, ["a", "b"])
         merged = common.components(links.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
         if not merged.take(1):
             continue
@@ -321,7 +321,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "row_key", "line_no"))
     different = seen.groupBy("line").agg(F.first("fp").alias("fp"), F.first("length").alias("length"), F.count(F.lit(1)).alias("n"))
     different = common.stage(different, "different")
-    found = line_components(different.select("line", "fp", "length"), docs)
+    found = line_components(different.select("line", "fp", "length"), docs, seen)
     grouped = different.select("line", "n").join(found.withColumnRenamed("node", "line"), "line", "left")
     # single lines are groups of their own and need no decision
     grouped = common.stage(grouped.filter("n > 1 or component is not null").select("line", F.coalesce("component", "line").alias("component")), "groups")
