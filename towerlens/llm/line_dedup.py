@@ -36,6 +36,8 @@ SMALL = 32
 TASK_ROWS = 400_000
 #: Pairs of texts compared per task.
 TASK_PAIRS = 1_000
+#: Wanted lines (ids and places) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_LINES = 500_000
 #: Bytes of text whose SimHashes are taken at once; arrays of this size stay in a core's cache.
 PRINT_BYTES = 250_000
 GRAM = 5
@@ -102,7 +104,10 @@ def texts_of(docs: DataFrame, seen: DataFrame, pairs: DataFrame) -> DataFrame:
     place = F.min(F.struct("row_key", "line_no")).alias("at")
     wanted = seen.select("line", "row_key", "line_no").join(ids, "line", "left_semi").groupBy("line").agg(place)
     wanted = wanted.groupBy(F.col("at.row_key").alias("row_key")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "line")).alias("wanted"))
-    own = _keyed(docs).select("row_key", "text").join(common.stage(wanted, "wanted"), "row_key").select("text", "wanted")
+    wanted = common.stage(wanted, "wanted")
+    if (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES:
+        wanted = F.broadcast(wanted)
+    own = _keyed(docs).select("row_key", "text").join(wanted, "row_key").select("text", "wanted")
 
     def run(batches):
         for batch in common.chunks(batches):
