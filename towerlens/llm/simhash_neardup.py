@@ -177,17 +177,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, link: int = 3) -> DataFrame
     return prints.join(ids, "fp")
 
 
-def keep_one(docs: DataFrame, width: int = 3, link: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, all columns.
-
-    Of rows that repeat a kept doc_id, all stay if their texts are in the same component.
-    Rows without doc_id stay only where their component has no id.
-    """
-    found = near_duplicates(docs, width, link)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
