@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from towerlens.operators import slices
 
 SHARES = {"test": 0.15, "validation": 0.15, "train": 0.70}
-_FINE = 10_000
+#: As many buckets as the hash has values.
+_FINE = 2**32
 
 
 def bucket(key: Column, buckets: int, seed: int = 42) -> Column:
@@ -64,12 +65,19 @@ def shared_groups(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("shared_groups"))
 
 
-def tuning_sample(df: DataFrame, group: str, max_rows: int = 100_000, seed: int = 7) -> DataFrame:
+def in_sample(group: Column, rows: int, max_rows: int, seed: int = 7, buckets: int = _FINE) -> Column:
+    """Whether a group is among the share ``max_rows / rows``, which is cut to whole buckets."""
+    return bucket(group, buckets, seed) < F.lit(max_rows * buckets // rows)
+
+
+def tuning_sample(
+    df: DataFrame, group: str, max_rows: int = 100_000, seed: int = 7, buckets: int = _FINE,
+) -> DataFrame:
     """Whole groups adding up to about ``max_rows`` rows."""
     rows = df.count()
     if rows <= max_rows:
         return df
-    return df.where(bucket(F.col(group), _FINE, seed) < int(max_rows / rows * _FINE))
+    return df.where(in_sample(F.col(group), rows, max_rows, seed, buckets))
 
 
 def folds(df: DataFrame, row_key: Column, count: int, name: str = "fold", seed: int = 42) -> DataFrame:
