@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from towerlens.llm import decontamination, fixity, language_id, license_scan, line_dedup, packing, pii, quality_rules, sharding, simhash_neardup
+from towerlens.llm import decontamination, fixity, language_id, license_scan, line_dedup, manifest, packing, pii, quality_rules, sharding, simhash_neardup
 
 QUERIES = {
     "op1_mixture_packing": packing.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_fuzzy_lines": line_dedup.query,
     "op9_best_fit_shards": sharding.query,
     "op10_quality_trees": quality_rules.query,
+    "op11_octopus_manifest": manifest.query,
 }
-SQL = {"op2_merkle_fixity": fixity.SQL}
+SQL = {"op2_merkle_fixity": fixity.SQL, "op11_octopus_manifest": manifest.SQL}
