@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from towerlens.llm import decontamination, fixity, hard_negatives, language_id, license_scan, line_dedup, manifest, packing, pii, quality_rules, sharding, simhash_neardup
+from towerlens.llm import decontamination, fixity, hard_negatives, html_main, language_id, license_scan, line_dedup, manifest, packing, pii, quality_rules, sharding, simhash_neardup
 
 QUERIES = {
     "op1_mixture_packing": packing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_best_fit_shards": sharding.query,
     "op10_quality_trees": quality_rules.query,
     "op11_octopus_manifest": manifest.query,
+    "op12_host_suffix_array": html_main.query,
     "op13_gnat_negatives": hard_negatives.query,
 }
 SQL = {"op2_merkle_fixity": fixity.SQL, "op11_octopus_manifest": manifest.SQL, "op13_gnat_negatives": hard_negatives.SQL}
