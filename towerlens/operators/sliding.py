@@ -60,6 +60,21 @@ def _events(alarms: DataFrame, unit: int, tie: str, settings: Settings) -> DataF
     )
 
 
+def _with_first_attributes(sliced: slices.Sliced, events: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Each row with its entity's first non-null attributes in time order.
+
+    They come from the whole of the entity's window, which the rows are sorted for anyway;
+    only entities that are split over slices need an aggregate of their own.
+    """
+    if not names:
+        return sliced.rows()
+    if sliced.split:
+        firsts = first_attributes(events, names=names, order=("_us", "_tie"))
+        return slices.join_null_safe(sliced.rows().drop(*names), firsts, ["entity"], "inner")
+    whole = sliced.window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return sliced.rows().withColumns({a: F.first(a, ignorenulls=True).over(whole) for a in names})
+
+
 def _buckets(events: DataFrame, counted: Sequence[str], limit: int | None) -> DataFrame:
     """One row per (entity, bucket) with counts, target flags and the latest critical pair.
 
@@ -75,42 +90,37 @@ def _buckets(events: DataFrame, counted: Sequence[str], limit: int | None) -> Da
     )
     paired = slices.without_ghosts(haloed.on(haloed.df.withColumn("_pair", pair)))
     known = [a for a in ATTRIBUTES if a in events.columns]
-    measures = [
+    # the attributes are the same in all rows of an entity, so they add no groups
+    return _with_first_attributes(paired, events, known).groupBy("entity", *known, "_idx").agg(
         *[F.sum(f"_{c}").alias(f"_{c}") for c in counted],
         *[F.max(f"_{t}").alias(f"_{t}") for t in TARGET_FLAGS],
         F.max("_pair").alias("_pair"),
+    )
+
+
+def _sweep(buckets: DataFrame, spans: Sequence[tuple[str, Column, Column, Column]], keys: Sequence[str]) -> DataFrame:
+    """State of every span at the points where it changes, one row per (entity, point).
+
+    A span (name, from, to, weight) adds its weight at ``from`` and takes it away at ``to``;
+    spans of equal ends share a row. One running sum per name then serves every lookback.
+    """
+    names = list(dict.fromkeys(name for name, *_ in spans))
+    changes: dict[str, tuple[Column, dict[str, Column]]] = {}
+    for name, start, stop, weight in spans:
+        for point, change in ((start, weight), (stop, -weight)):
+            at = changes.setdefault(str(point), (point, {}))[1]
+            at[name] = at[name] + change if name in at else change
+    rows = [
+        F.struct(point.cast("bigint").alias("_g"), *[at.get(n, F.lit(0)).cast("bigint").alias(n) for n in names])
+        for point, at in changes.values()
     ]
-    counts = paired.rows().groupBy("entity", "_idx").agg(*measures)
-    if not known:
-        return counts
-    # an entity's first attributes come from all its rows, also when its first row lacks one
-    attributes = first_attributes(events, names=known, order=("_us", "_tie"))
-    return slices.join_null_safe(counts, attributes, ["entity"], "inner")
-
-
-def _grid_rows(buckets: DataFrame, lo: Column, hi: Column, counted, reach: int, dense: bool) -> DataFrame:
-    """Each bucket row spread over the grid points up to the entity's next bucket."""
-    window = Window.partitionBy("entity").orderBy("_idx")
-    until_now = window.rowsBetween(Window.unboundedPreceding, 0)
-    rows = buckets.withColumns({
-        **{f"_cum_{c}": F.sum(f"_{c}").over(until_now) for c in counted},
-        "_run_pair": F.max("_pair").over(until_now),
-        "_next": F.lead("_idx").over(window),
-        "_opens": F.lag("_idx").over(window).isNull(),
-    })
-    end = F.coalesce(F.col("_next") - 1, hi)
-    start = F.when(F.col("_opens"), lo).otherwise(F.col("_idx"))
-    if not dense:
-        end = F.least(end, F.col("_idx") + reach)
-        start = F.col("_idx")
-    spread = rows.withColumn("_g", F.explode(F.sequence(start, end)))
-    here = F.col("_g") == F.col("_idx")
-    reached = F.col("_g") >= F.col("_idx")
-    return spread.withColumns({
-        **{f"_cum_{c}": F.when(reached, F.col(f"_cum_{c}")).otherwise(0) for c in counted},
-        "_run_pair": F.when(reached, F.col("_run_pair")),
-        **{f"_{t}": F.when(here, F.col(f"_{t}")).otherwise(0) for t in TARGET_FLAGS},
-    })
+    exploded = buckets.select(*keys, F.explode(F.array(*rows)).alias("_change")).select(*keys, "_change.*")
+    summed = exploded.where(F.col("_g").isNotNull()).groupBy(*keys, "_g").agg(*[F.sum(n).alias(n) for n in names])
+    order = Window.partitionBy("entity").orderBy("_g")
+    until_now = order.rowsBetween(Window.unboundedPreceding, 0)
+    return summed.select(
+        *keys, "_g", *[F.sum(n).over(until_now).alias(n) for n in names],
+        F.lead("_g").over(order).alias("_next"), F.lag("_g").over(order).isNull().alias("_opens"))
 
 
 def lookback_features(
@@ -123,9 +133,11 @@ def lookback_features(
 ) -> DataFrame:
     """Feature matrix: one row per entity and grid point.
 
-    Counts over ``[t-h, t)`` are differences of running totals, so the cost is linear in
-    the grid whatever the lookback. ``dense=False`` keeps only points within the longest
-    lookback of an event, which is what a large estate of mostly silent towers needs.
+    Counts over ``[t-h, t)`` come from an expiry sweep: a bucket adds where it enters a
+    lookback and subtracts where it leaves it, so the cost is linear in the buckets whatever
+    the lookback, and grid points are only written out between changes. ``dense=False`` keeps
+    only points within the longest lookback of an event, which is what a large estate of
+    mostly silent towers needs.
     """
     settings = settings or Settings()
     lookbacks = list(settings.lookback_hours)
@@ -148,52 +160,92 @@ def lookback_features(
 
     events = _events(alarms, unit, tie, settings)
     buckets = _buckets(events, counted, limit)
-    # the last point of a step may lie after the last bucket of that step
-    last = hi + (per_step - 1)
-    reach = max([*lookbacks, streak_hours]) // unit_hours
-    grid = _grid_rows(buckets, lo, last, counted, reach, dense)
-
-    window = Window.partitionBy("entity").orderBy("_g")
-    carried = [*[f"_cum_{c}" for c in counted], "_run_pair"]
-    grid = grid.withColumn("_state", F.struct(*carried))
-
-    def before(back: int) -> Column:
-        """State after everything in buckets up to ``_g - back``."""
-        if dense:
-            return F.lag("_state", back).over(window)
-        return F.last("_state").over(window.rangeBetween(Window.unboundedPreceding, -back))
-
-    backs = {hours: hours // unit_hours + 1 for hours in lookbacks}
-    grid = grid.withColumns({f"_back{b}": before(b) for b in {1, *backs.values()}})
-
-    features: dict[str, Column] = {}
-    for hours, back in backs.items():
-        for c in counted:
-            now = F.coalesce(F.col(f"_back1._cum_{c}"), F.lit(0))
-            then = F.coalesce(F.col(f"_back{back}._cum_{c}"), F.lit(0))
-            features[f"{c}_alarms_{hours}h"] = (now - then).cast("bigint")
-    streak = F.col("_back1._run_pair") >= F.col("_g") - streak_hours // unit_hours
-    features[f"consecutive_critical_streak_{streak_hours}h"] = F.coalesce(streak, F.lit(False)).cast("int")
-    for target in TARGET_FLAGS:
-        flag = F.col(f"_{target}")
-        if per_step > 1:
-            flag = F.max(flag).over(window.rangeBetween(0, per_step - 1))
-        features[target] = flag.cast("int")
-
-    matrix = grid.withColumns(features)
-    if per_step > 1:
-        matrix = matrix.where((F.col("_g") % per_step == 0) & (F.col("_g") <= hi))
+    known = [a for a in ATTRIBUTES if a in alarms.columns]
+    here, after = F.col("_idx"), F.col("_idx") + 1
+    streak_name = f"consecutive_critical_streak_{streak_hours}h"
+    out_of_reach = F.col("_pair") + streak_hours // unit_hours + 1
+    streak_end = F.when(out_of_reach > after, out_of_reach)
+    spans = [
+        # a bucket counts at the points after it, for as long as the lookback reaches
+        *[(f"{c}_alarms_{h}h", after, after + h // unit_hours, F.col(f"_{c}")) for h in lookbacks for c in counted],
+        # a pair counts until its earlier event is out of reach; a pair without reach has no span
+        (streak_name, after, streak_end, streak_end.isNotNull().cast("int")),
+        # a target counts at the point whose next two hours hold the bucket
+        *[(t, here - (per_step - 1), after, F.col(f"_{t}")) for t in TARGET_FLAGS],
+    ]
+    if not dense:
+        reach = max([*lookbacks, streak_hours]) // unit_hours
+        spans.append(("_alive", here, here + reach + 1, F.lit(1)))
+    states = _sweep(buckets, spans, ["entity", *known])
+
+    # a state holds up to the next change; of its points those of the two-hour grid stay
+    first = F.greatest(F.when(F.col("_opens") & F.lit(dense), lo).otherwise(F.col("_g")), lo)
+    last = F.least(F.coalesce(F.col("_next") - 1, hi), hi)
+    first, last = F.ceil(first / per_step).cast("bigint"), F.floor(last / per_step).cast("bigint")
+    opening = F.col("_g")
+    states = states.withColumns({"_first": first, "_last": last})
+    if not dense:
+        states = states.where("_alive > 0")
+    points = states.where("_first <= _last").withColumn("_point", F.explode(F.sequence("_first", "_last")))
+    # before an entity's first change nothing counts yet
+    now = F.col("_point") * per_step >= opening
+    counts = {f"{c}_alarms_{h}h": "bigint" for h in lookbacks for c in counted}
+    features = {n: F.when(now, F.col(n)).otherwise(0).cast(kind) for n, kind in counts.items()}
+    for name in (streak_name, *TARGET_FLAGS):
+        features[name] = (now & (F.col(name) > 0)).cast("int")
+    matrix = points.withColumns(features)
     active = [F.col(c) for c in settings.target_columns]
     combined = F.greatest(*active, F.lit(0)) if active else F.lit(0)
-    known = [a for a in ATTRIBUTES if a in alarms.columns]
     return matrix.select(
         "entity", *known,
-        timeparts.from_micros(F.col("_g") * F.lit(unit)).alias("window_timestamp"),
+        timeparts.from_micros(F.col("_point") * F.lit(timeparts.STEP)).alias("window_timestamp"),
         *features,
         combined.cast("int").alias("target_outage_next_2h"),
     )
 
 
+def newest_point_features(
+    alarms: DataFrame,
+    settings: Settings | None = None,
+    tie: str = "log_serial_number",
+    active_only: bool = False,
+    limit: int | None = None,
+) -> DataFrame:
+    """The rows of :func:`lookback_features` at its newest grid point, without the grid.
+
+    One aggregate per tower counts what lies inside each lookback before that point.
+    ``active_only`` leaves out towers without an alarm in the longest lookback, so that
+    older rows are filtered before anything else; attributes are then the first ones in it.
+    """
+    settings = settings or Settings()
+    lookbacks, streak_hours = list(settings.lookback_hours), settings.streak_hours
+    unit_hours = gcd(timeparts.STEP_HOURS, *lookbacks, streak_hours)
+    per_step = timeparts.STEP_HOURS // unit_hours
+    newest = alarms.agg(F.max(timeparts.micros(F.col("event_time"))).alias("last_us"))
+    point = newest.select((timeparts.floor_index(F.col("last_us") + timeparts.STEP - 1, timeparts.STEP) * per_step).alias("g")).scalar()
+    reach = max([*lookbacks, streak_hours]) // unit_hours
+    if active_only:
+        start = timeparts.from_micros((point - reach) * F.lit(unit_hours * timeparts.HOUR))
+        alarms = alarms.where(F.col("event_time") >= start)
+    events = _events(alarms, unit_hours * timeparts.HOUR, tie, settings)
+    buckets = _buckets(events, ["total", "critical", "major", *settings.feature_groups], limit)
+    known = [a for a in ATTRIBUTES if a in alarms.columns]
+    back = point - F.col("_idx")
+    counted = ["total", "critical", "major", *settings.feature_groups]
+    within = {h: back.between(1, h // unit_hours) for h in lookbacks}
+    streak = (back >= 1) & (F.col("_pair") >= point - streak_hours // unit_hours)
+    ahead = -back
+    features = [F.sum(F.when(within[h], F.col(f"_{c}")).otherwise(0)).cast("bigint").alias(f"{c}_alarms_{h}h") for h in lookbacks for c in counted]
+    targets = [F.max(F.when(ahead.between(0, per_step - 1), F.col(f"_{t}")).otherwise(0)).cast("int").alias(t) for t in TARGET_FLAGS]
+    rows = buckets.groupBy("entity", *known).agg(
+        *features, F.max(F.coalesce(streak, F.lit(False)).cast("int")).alias(f"consecutive_critical_streak_{streak_hours}h"), *targets)
+    active = [F.col(c) for c in settings.target_columns]
+    return rows.select(
+        "entity", *known, timeparts.from_micros(point * F.lit(unit_hours * timeparts.HOUR)).alias("window_timestamp"),
+        *[c for c in rows.columns if c not in ("entity", *known)],
+        (F.greatest(*active, F.lit(0)) if active else F.lit(0)).cast("int").alias("target_outage_next_2h"))
+
+
 def grid_points(alarms: DataFrame) -> DataFrame:
     """Every two-hour point from the first alarm (rounded down) to the last (rounded up)."""
     us = timeparts.micros(F.col("event_time"))
