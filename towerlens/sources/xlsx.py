@@ -10,13 +10,13 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from towerlens.functions import text
-from towerlens.schema import EXPORT_VARIANTS, RAW_COLUMNS
 
 SNIFF_ROWS = 12
-#: Output of the workbook reader; ``error`` is set on the single row of a rejected file.
+#: Output of the workbook reader: data rows, and at the end of each file one row without a
+#: ``source_row`` that has its header as keys of ``cells`` or, for a rejected file, ``error``.
 SHEET_SCHEMA = "source_file string, source_row bigint, cells map<string,string>, error string"
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -111,17 +111,20 @@ def _records(path: str, content: bytes, header_row: int | None) -> Iterator[tupl
         yield path, number, {n: c for n, c in zip(names, cells) if n and c is not None}, None
     if names is None:
         raise ValueError("no header row found")
+    yield path, None, dict.fromkeys(filter(None, names)), None
 
 
 def _frame(rows: list) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["source_file", "source_row", "cells", "error"])
+    frame = pd.DataFrame(rows, columns=["source_file", "source_row", "cells", "error"])
+    return frame.astype({"source_row": "Int64"})
 
 
-def read_sheets(spark: SparkSession, path: str, header_row: int | None = None) -> DataFrame:
-    """Rows of every workbook under ``path`` as (file, row, header -> text)."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def parse(books: DataFrame, header_row: int | None = None) -> DataFrame:
+    """Rows of every workbook (path, content) as (file, row, header -> text), streamed.
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A file can fail after some of its rows: readers leave out the rows of rejected files.
+    """
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 rows: list = []
@@ -136,12 +139,18 @@ def read_sheets(spark: SparkSession, path: str, header_row: int | None = None) -
                 if rows:
                     yield _frame(rows)
 
-    return files.mapInPandas(parse, SHEET_SCHEMA)
+    return books.mapInPandas(work, SHEET_SCHEMA)
 
 
-def as_columns(sheets: DataFrame, names: tuple[str, ...] = (*RAW_COLUMNS, *EXPORT_VARIANTS)) -> DataFrame:
-    """One string column per known header; headers no file has stay null."""
-    kept = sheets.where(F.col("error").isNull())
+def headers(sheets: DataFrame) -> list[str]:
+    """Names in the headers of all accepted files."""
+    ends = sheets.where(F.col("source_row").isNull() & F.col("error").isNull())
+    return [r[0] for r in ends.select(F.explode(F.map_keys("cells"))).distinct().collect()]
+
+
+def as_columns(sheets: DataFrame, names: list[str]) -> DataFrame:
+    """One string column per header name, null where a file has no such column."""
+    kept = sheets.where(F.col("source_row").isNotNull()).join(rejected(sheets), "source_file", "left_anti")
     return kept.select("source_file", "source_row", *[F.try_element_at("cells", F.lit(n)).alias(n) for n in names])
 
 
