@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import json
 import zipfile
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,7 +33,51 @@ def test_titled_csv_finds_each_header_and_rejects_files_without(spark, tmp_path)
     assert sorted(r["source_file"].rsplit("/", 1)[1] for r in loaded.rejected.collect()) == ["c.csv", "d.csv"]
 
 
-def _book(path, rows, shared=False, styles=None):
+def test_one_folder_of_mixed_headers_titles_and_broken_files(spark, tmp_path):
+    """Column orders differ from file to file, and one file of each kind is broken."""
+    (tmp_path / "a.csv").write_text("Severity,Name,Alarm ID\nMajor,A,1\n,B\nMinor,C,3,spare\n")
+    (tmp_path / "b.csv").write_text("Log of the day\n\nName,Alarm ID,Severity,Zone Of Mine\nD,4,Major,north\n\nLog of the day\n")
+    (tmp_path / "c.csv").write_text("\ufeffname,severity\r\n\"E, e\",\"say \"\"x\"\"\"\r\n")
+    (tmp_path / "bad.csv").write_bytes(b"\x00\x01 neither\nheader,nor,data\n")
+    (tmp_path / "empty.csv").write_text("")
+    _book(tmp_path / "d.xlsx", [["Alarm ID", "Severity", "My Column", "Name"], ["5", "Minor", "mine", "F"]])
+    _book(tmp_path / "cut.xlsx", [["Severity", "Alarm ID", "Name"], *[["Major", str(i), "half"] for i in range(6_000)]], cut=True)
+    (tmp_path / "bad.xlsx").write_bytes(b"no workbook")
+    spark.createDataFrame([("G", "Major", 7)], "name string, severity string, extra int").coalesce(1).write.parquet(str(tmp_path / "p1.parquet"))
+    spark.createDataFrame([("Minor", "H")], "severity string, name string").coalesce(1).write.parquet(str(tmp_path / "p2.parquet"))
+    spark.createDataFrame([], "severity string, name string").coalesce(1).write.parquet(str(tmp_path / "none.parquet"))
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 not quite")
+    loaded = files.load_folder(spark, str(tmp_path))
+    got = {r["name"]: r for r in loaded.rows.collect()}
+    assert {n: (r["severity"], r["alarm_id"]) for n, r in got.items()} == {
+        "A": ("Major", "1"), "B": (None, None), "C": ("Minor", "3"), "D": ("Major", "4"), "E, e": ('say "x"', None),
+        "F": ("Minor", "5"), "G": ("Major", None), "H": ("Minor", None)}
+    assert got["D"]["zone_of_mine"] == "north" and got["F"]["my_column"] == "mine" and got["G"]["extra"] == 7
+    assert loaded.rows.count() == 8
+    names = sorted(r["source_file"].rsplit("/", 1)[1] for r in loaded.rejected.collect())
+    assert names == ["bad.csv", "bad.parquet", "bad.xlsx", "cut.xlsx"]  # a file of no bytes has no rows either way
+
+
+def test_any_number_of_headers_is_one_scan(spark, tmp_path):
+    """1,200 headers that differ, more than any union of frames would plan."""
+    for i in range(1_200):
+        (tmp_path / f"{i}.csv").write_text(f"Severity,Name,Occurred,own {i % 40} {i}\nMajor,n{i},2024,v{i}\n".replace(f" {i % 40} {i}", f" {i % 40}" + "," * (i // 40)))
+    loaded = files.read_delimited(spark, str(tmp_path))
+    text = loaded.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation [value") == 1 and "Union" not in text
+    rows = loaded.rows.collect()
+    assert len(rows) == 1_200 and loaded.rejected.count() == 0
+    assert all(r[f"own_{int(r['name'][1:]) % 40}"] == "v" + r["name"][1:] for r in rows)
+
+
+def test_a_folder_of_broken_files_only(spark, tmp_path):
+    (tmp_path / "a.parquet").write_bytes(b"nothing")
+    (tmp_path / "b.csv").write_text("x\n")
+    loaded = files.load_folder(spark, str(tmp_path))
+    assert loaded.rows.count() == 0 and loaded.rejected.count() == 2
+
+
+def _book(path, rows, shared=False, styles=None, cut=False):
     cells = []
     texts = []
     for row in rows:
@@ -52,7 +96,8 @@ def _book(path, rows, shared=False, styles=None):
         cells.append(f"<row>{line}</row>")
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(path, "w") as archive:
-        archive.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{''.join(cells)}</sheetData></worksheet>")
+        sheet = f"<worksheet {ns}><sheetData>{''.join(cells)}</sheetData></worksheet>"
+        archive.writestr("xl/worksheets/sheet1.xml", sheet[:-60] if cut else sheet)
         if shared:
             items = "".join(f"<si><t>{t}</t></si>" for t in texts)
             archive.writestr("xl/sharedStrings.xml", f"<sst {ns}>{items}</sst>")
@@ -116,6 +161,64 @@ def test_history_appends_once_and_purges_strictly(spark, tmp_path):
     assert again.rows == 0 and history.read(spark, path).count() == 2
 
 
+def test_rows_without_a_source_are_appended_once(spark, tmp_path):
+    path, now = str(tmp_path / "history"), datetime(2024, 3, 1)
+    rows = _alarms(spark, ["2024-02-01 00:00:00", "2024-02-02 00:00:00"]).withColumn("source_file", F.when(F.col("alarm_name") == "A0", "x"))
+    assert [history.append(rows, path, None, now) for _ in range(3)] == [2, 0, 0]
+    assert history.append(rows.withColumn("source_file", F.lit("y")), path, None, now) == 2
+    assert history.read(spark, path).count() == 4
+
+
+def test_known_sources_come_from_the_manifest_alone(spark, tmp_path):
+    path, now = str(tmp_path / "history"), datetime(2024, 3, 1)
+    history.append(_alarms(spark, ["2024-02-01 00:00:00"]), path, "one", now)
+    entries = history.manifest(spark, path)
+    assert [tuple(r)[1:] for r in entries.collect()] == [("one", date(2024, 2, 1), 1)]
+    assert all("/manifest/" in f for f in entries.inputFiles())
+
+
+def test_a_crash_before_the_commit_leaves_nothing_to_read(spark, tmp_path, monkeypatch):
+    path, now = str(tmp_path / "history"), datetime(2024, 3, 1, 12)
+    rows = _alarms(spark, ["2024-01-01 11:00:00", "2024-01-01 13:00:00", "2023-12-01 00:00:00", "2024-02-01 00:00:00"])
+    commit = history._commit
+
+    def dies(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(history, "_commit", dies)
+    with pytest.raises(OSError):
+        history.append(rows, path, "one", now)
+    assert history.read(spark, path).count() == 0
+    monkeypatch.setattr(history, "_commit", commit)
+    assert history.append(rows, path, "one", now) == 4 and history.append(rows, path, "one", now) == 0
+    monkeypatch.setattr(history, "_commit", dies)
+    with pytest.raises(OSError):
+        history.purge(spark, path, now, 60)
+    assert history.read(spark, path).count() == 4  # not purged by halves
+    monkeypatch.setattr(history, "_commit", commit)
+    assert history.purge(spark, path, now, 60).rows == 2
+    assert history.read(spark, path).count() == 2
+    spare = history.vacuum(spark, path, datetime.now() + timedelta(hours=1))
+    assert len(spare) == 3 and history.read(spark, path).count() == 2  # two lost snapshots, the purged one
+
+
+def test_a_lost_race_starts_again(spark, tmp_path, monkeypatch):
+    path, now = str(tmp_path / "history"), datetime(2024, 3, 1)
+    commit, calls = history._commit, []
+
+    def overtaken(*args):
+        if not calls:
+            calls.append(1)
+            monkeypatch.setattr(history, "_commit", commit)
+            history.append(_alarms(spark, ["2024-02-05 00:00:00"]), path, "other", now)
+        return commit(*args)
+
+    monkeypatch.setattr(history, "_commit", overtaken)
+    assert history.append(_alarms(spark, ["2024-02-01 00:00:00"]), path, "one", now) == 1
+    assert sorted(r[0] for r in history.read(spark, path).select("file_source").collect()) == ["one", "other"]
+    assert history.versions(spark, path) == [1, 2]
+
+
 def test_history_of_an_absent_path_is_empty(spark, tmp_path):
     assert history.read(spark, str(tmp_path / "no")).count() == 0
     assert history.purge(spark, str(tmp_path / "no"), datetime(2024, 1, 1)).rows == 0

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, functions as F
 
 from towerlens import session
 from towerlens.catalog.base import alarms, integers, naive, with_alarms
 from towerlens.catalog.registry import Area
 from towerlens.functions import text
-from towerlens.operators import columns, sliding
+from towerlens.operators import clean, columns, sliding
 from towerlens.settings import Settings
+from towerlens.sources import history
 
 register = Area()
 QUERIES, SQL = register.queries, register.sql
@@ -169,15 +172,22 @@ def g13_by_site(spark, sf_dir):
 @register("d5_latest_snapshot", _matrix_sql(
     (6,), select="entity, window_timestamp, total_alarms_6h", tail="QUALIFY window_timestamp = max(window_timestamp) OVER ()"))
 def d5(spark, sf_dir):
+    rows = sliding.newest_point_features(alarms(spark, sf_dir), Settings(lookback_hours=(6,)))
+    return rows.select("entity", naive("window_timestamp"), "total_alarms_6h")
+
+
+@register("d5_latest_of_matrix", _matrix_sql(
+    (6,), select="entity, window_timestamp, total_alarms_6h", tail="QUALIFY window_timestamp = max(window_timestamp) OVER ()"))
+def d5_matrix(spark, sf_dir):
+    """The same rows taken from a matrix that was written before."""
     rows = session.cut_lineage(matrix(spark, sf_dir, Settings(lookback_hours=(6,))))
     return sliding.latest_matrix_rows(rows).select("entity", naive("window_timestamp"), "total_alarms_6h")
 
 
 def priority_snapshot(spark, sf_dir) -> DataFrame:
     """Towers with alarms in the last six hours at the newest grid point, busiest first."""
-    # kept once: the newest point and its rows both come from the finished matrix
-    rows = session.cut_lineage(matrix(spark, sf_dir, Settings(lookback_hours=(6, 24))))
-    busy = sliding.latest_matrix_rows(rows).where(F.col("total_alarms_6h") > 0)
+    rows = sliding.newest_point_features(alarms(spark, sf_dir), Settings(lookback_hours=(6, 24)))
+    busy = rows.where(F.col("total_alarms_6h") > 0)
     return busy.select(
         "entity", "site_id", "node_identifier", naive("window_timestamp"),
         *integers("total_alarms_6h", "critical_alarms_6h", "total_alarms_24h"),
@@ -192,6 +202,24 @@ register("priority_snapshot", _matrix_sql(
         f"WHERE total_alarms_6h > 0 AND window_timestamp = (SELECT make_timestamp(hi * {STEP}) FROM span)"))(priority_snapshot)
 
 
+@register("h5_recent_snapshot", with_alarms(
+    f"SELECT entity, make_timestamp(hi * {STEP}) AS window_timestamp, "
+    f"count(*) FILTER (WHERE us >= (hi - 3) * {STEP}) AS total_alarms_6h, "
+    f"count(*) FILTER (WHERE us >= (hi - 3) * {STEP} AND lower(severity) = 'critical') AS critical_alarms_6h, "
+    "count(*) FILTER (WHERE regexp_matches(lower(alarm_name), 'rf|rru|vswr|feeder|antenna')) AS rru_alarms_24h, count(*) AS total_alarms_24h "
+    f"FROM alarms, span WHERE us >= (hi - 12) * {STEP} AND us < hi * {STEP} GROUP BY entity, hi",
+    f"span AS (SELECT (max(us // 1000000 * 1000000) + {STEP} - 1) // {STEP} AS hi FROM alarms)"))
+def h5_recent(spark, sf_dir):
+    """Towers alarmed in the last day, from the newest dates of the history alone."""
+    path = session.scratch(spark, "history")
+    history.append(alarms(spark, sf_dir), path, "batch", datetime(2024, 2, 1))
+    recent = history.recent(spark, path, hours=26)
+    rows = sliding.newest_point_features(
+        clean.with_entity(recent), Settings(lookback_hours=(6, 24)), tie="alarm_name", active_only=True)
+    return rows.where("total_alarms_24h > 0").select(
+        "entity", naive("window_timestamp"), "total_alarms_6h", "critical_alarms_6h", "rru_alarms_24h", "total_alarms_24h")
+
+
 _ALIGNED = ("total_alarms_6h", "rru_alarms_6h", "absent_feature", "total_alarms_24h")
 
 

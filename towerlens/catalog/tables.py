@@ -12,7 +12,7 @@ from towerlens.catalog.registry import Area
 from towerlens.functions import timeparts
 from towerlens.operators import clean, explore
 from towerlens.settings import Settings
-from towerlens.sources import files, history, xlsx
+from towerlens.sources import files, history
 from towerlens.streaming import ingest
 
 register = Area()
@@ -80,16 +80,7 @@ def _workbooks(batches):
 @register("a1_excel_rows", with_raw(_EXPORTED_SQL))
 def a1(spark, sf_dir):
     books = exported(spark, sf_dir).mapInPandas(_workbooks, "path string, content binary")
-
-    def parse(batches):
-        import pandas as pd
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                yield pd.DataFrame(
-                    list(xlsx._records(name, bytes(content), None)), columns=["source_file", "source_row", "cells", "error"])
-
-    rows = xlsx.as_columns(books.mapInPandas(parse, xlsx.SHEET_SCHEMA))
-    return rows.select(
+    return files.from_workbooks(session.staged(books, "books")).rows.select(
         F.col("log_serial_number").cast("bigint").alias("log_serial_number"),
         F.col("occurred_on_nt").alias("occurred_on"), "alarm_source", "severity", "location_information")
 
@@ -117,15 +108,37 @@ def a5(spark, sf_dir):
         F.col("occurred_on_nt").alias("occurred_on"), "alarm_source", "severity", "location_information")
 
 
-@register("a4_folder_union", with_raw("SELECT log_serial_number, name, severity FROM raw"))
+@register("a4_folder_union", with_raw(_EXPORTED_SQL))
 def a4(spark, sf_dir):
+    """Parquet, two CSV column orders and a broken file of each kind in one folder."""
+    folder = session.scratch(spark, "folder")
+    rows = exported(spark, sf_dir)
+    part = F.col("log_serial_number").cast("bigint") % 3
+    files.write_parquet(rows.where(part == 0), f"{folder}/part.parquet")
+    files.write_csv(rows.where(part == 1), f"{folder}/part.csv")
+    files.write_csv(rows.where(part == 2).select(*reversed(_TEXT)), f"{folder}/turned.csv")
+    for kind in ("parquet", "csv", "xlsx"):
+        rows.limit(1).select(F.lit("neither header nor data").alias("value")).write.text(f"{folder}/bad.{kind}")
+    loaded = files.load_folder(spark, folder)
+    return loaded.rows.select(
+        F.col("log_serial_number").cast("bigint").alias("log_serial_number"), "occurred_on", "alarm_source",
+        "severity", "location_information")
+
+
+@register("a4_rejected_files", with_raw("SELECT kind, 1::BIGINT AS files, count(*) AS lines FROM raw, (VALUES ('csv'), ('parquet'), ('xlsx')) k(kind) WHERE name = 'Cell Outage' GROUP BY kind"))
+def a4_rejected(spark, sf_dir):
+    """Files that are no alarm files are listed, however many lines they have."""
     folder = session.scratch(spark, "folder")
     rows = exported(spark, sf_dir)
-    even = F.col("log_serial_number").cast("bigint") % 2 == 0
-    files.write_parquet(rows.where(even), f"{folder}/part.parquet")
-    files.write_csv(rows.where(~even), f"{folder}/part.csv")
-    loaded = files.load_folder(spark, folder).rows
-    return loaded.select(F.col("log_serial_number").cast("bigint").alias("log_serial_number"), "name", "severity")
+    files.write_csv(rows, f"{folder}/part.csv")
+    files.write_parquet(rows, f"{folder}/part.parquet")
+    junk = rows.where("name = 'Cell Outage'").select(F.concat(F.lit("line "), "log_serial_number").alias("value")).coalesce(1)
+    for kind in ("parquet", "csv", "xlsx"):
+        junk.write.text(f"{folder}/bad.{kind}")
+    rejected = files.load_folder(spark, folder).rejected
+    text = spark.read.text(f"{folder}/bad.*").groupBy(F.col("_metadata.file_path").alias("source_file")).agg(F.count(F.lit(1)).alias("lines"))
+    kind = F.regexp_extract("source_file", r"bad\.(\w+)/", 1).alias("kind")
+    return rejected.join(text, "source_file").groupBy(kind).agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"))
 
 
 @register("a6_by_extension", with_raw("SELECT count(*) AS n, count(DISTINCT name) AS names FROM raw"))
@@ -151,12 +164,19 @@ def a8(spark, sf_dir):
     return alarms(spark, sf_dir).agg(*[F.sum(f"is_{g}").alias(g) for g in settings.feature_groups])
 
 
-@register("a11_schema_only", with_raw("SELECT count(*) AS rows, 4 AS columns FROM raw"))
+_FOUR = ("log_serial_number", "event_time", "name", "severity")
+
+
+@register("a11_schema_only", with_raw(" UNION ALL ".join(
+    f"SELECT {i} AS place, '{n}' AS name, count({n}) AS filled FROM raw" for i, n in enumerate(_FOUR))))
 def a11(spark, sf_dir):
+    """The names come from the schema alone, the counts from the rows."""
     path = session.scratch(spark, "schema")
-    files.write_parquet(raw(spark, sf_dir).select("log_serial_number", "event_time", "name", "severity"), path)
+    files.write_parquet(raw(spark, sf_dir).select(*_FOUR), path)
     names = files.first_columns(spark, path)
-    return files.read_parquet(spark, path).agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(names)))
+    filled = files.read_parquet(spark, path).agg(*[F.count(n).alias(n) for n in names])
+    pairs = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("name"), F.col(n).alias("filled")) for i, n in enumerate(names)])
+    return filled.select(F.explode(pairs).alias("c")).select("c.*")
 
 
 _HISTORY_SQL = (
@@ -181,6 +201,28 @@ def b3(spark, sf_dir):
         *rounded("duration_minutes"), "file_source", naive("ingestion_time"))
 
 
+_PLAIN_HISTORY = "SELECT site_id, node_identifier, date_trunc('second', event_time) AS event_time, alarm_name, severity, CASE WHEN log_serial_number % 3 > 0 THEN 'day-' || (log_serial_number % 3) END AS file_source FROM alarms"
+
+
+@register("b3_append_sources", with_alarms(_PLAIN_HISTORY))
+def b3_sources(spark, sf_dir):
+    """Three overlapping appends of rows with two sources and with none."""
+    path = session.scratch(spark, "history")
+    part = F.col("log_serial_number") % 3
+    rows = alarms(spark, sf_dir).withColumn("source_file", F.when(part > 0, F.concat(F.lit("day-"), part.cast("string"))))
+    for wanted in (part < 2, part != 1, part >= 0):
+        history.append(rows.where(wanted), path, None, INGESTED)
+    return history.read(spark, path).select("site_id", "node_identifier", naive("event_time"), "alarm_name", "severity", "file_source")
+
+
+@register("b3_manifest", with_alarms(
+    "SELECT 'batch' AS file_source, CAST(event_time::DATE AS STRING) AS day, count(*) AS rows FROM alarms GROUP BY ALL"))
+def b3_manifest(spark, sf_dir):
+    """Rows by source and date, from the manifest alone."""
+    entries = history.manifest(spark, _history(spark, sf_dir))
+    return entries.groupBy("file_source", F.col("event_date").cast("string").alias("day")).agg(F.sum("rows").alias("rows"))
+
+
 @register("b4_purge_history", with_alarms(
     "SELECT CAST(event_time::DATE AS STRING) AS day, count(*) AS n FROM alarms WHERE date_trunc('second', event_time) >= TIMESTAMP '2024-01-15 06:30:00' GROUP BY 1"))
 def b4(spark, sf_dir):
@@ -206,13 +248,19 @@ def a10(spark, sf_dir):
     return history.summary(rows).select("total_records", naive("min_date"), naive("max_date"), "site_count")
 
 
-@register("b5_expired_files", with_raw("SELECT count(*) AS rows_due FROM raw"))
+@register("b5_expired_files", with_raw("SELECT log_serial_number % 4 AS part, count(*) AS rows_due FROM raw WHERE log_serial_number % 4 < 2 GROUP BY 1"))
 def b5(spark, sf_dir):
+    """Files of four ages; the cutoff falls between the second and the third."""
     path = session.scratch(spark, "uploads")
-    files.write_csv(exported(spark, sf_dir), path)
-    due = files.expired_files(spark, path, datetime(2099, 1, 1), 60).select("source_file")
-    rows = files.read_csv(spark, path).select(F.col("_metadata.file_path").alias("source_file"))
-    return rows.join(due, "source_file", "left_semi").agg(F.count(F.lit(1)).alias("rows_due"))
+    rows = exported(spark, sf_dir)
+    for part, day in enumerate((datetime(2023, 11, 1), datetime(2023, 12, 22), datetime(2023, 12, 23), datetime(2024, 2, 19))):
+        folder = f"{path}/part-{part}"
+        files.write_csv(rows.where(F.col("log_serial_number").cast("bigint") % 4 == part), folder)
+        files.set_modified(spark, folder, day)
+    due = files.expired_files(spark, f"{path}/*", datetime(2024, 2, 20, 12), 60).select("source_file")
+    found = files.read_csv(spark, f"{path}/*").select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("log_serial_number").cast("bigint").alias("id"))
+    return found.join(due, "source_file", "left_semi").groupBy((F.col("id") % 4).alias("part")).agg(F.count(F.lit(1)).alias("rows_due"))
 
 
 def _source_rows(spark, sf_dir):
