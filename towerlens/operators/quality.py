@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
 from towerlens import session
-from towerlens.operators import columns, explore, sequence
+from towerlens.operators import columns, explore, sequence, slices
 from towerlens.schema import IDENTIFIER_COLUMNS, TARGET_COLUMNS
 
 # Name parts that suggest an identifier, per audit.
@@ -62,18 +66,47 @@ def _correlation(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), spread)
 
 
+#: Share of a column's spread below which what is left of it counts as constant.
+NO_SPREAD = 1e-13
+
+
+def co_moments(df: DataFrame, names: Sequence[str]) -> dict[str, np.ndarray]:
+    """Pairwise-complete sums of every pair of columns, from one Gram matrix.
+
+    ``n``, ``x``, ``xx`` and ``xy`` at [i, j] are sums over the rows in which both columns
+    are present, of 1, of column i, of its square and of the product. A row is the vector
+    (values or 0, presence, squares), so one matrix of three times the columns holds all of
+    them; its partial sums are merged in a tree, and the plan does not grow with the pairs.
+    Columns are shifted and scaled by mean and deviation first, which keeps the digits.
+    NaN counts as absent.
+    """
+    doubles = {n: F.nullif(F.col(f"`{n}`").cast("double"), F.lit(float("nan"))) for n in names}
+    row = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(doubles.values())],
+                 *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(doubles.values())]).first()
+    scaled = [(v - F.lit(row[f"m{i}"] or 0.0)) / F.lit(row[f"s{i}"] or 1.0) for i, v in enumerate(doubles.values())]
+    cells = [F.coalesce(z, F.lit(0.0)) for z in scaled]
+    present = [z.isNotNull().cast("double") for z in scaled]
+    vectors = df.select(array_to_vector(F.array(*cells, *present, *[z * z for z in cells])).alias("v"))
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix().toArray()
+    d = len(doubles)
+    return {"n": gram[d:2 * d, d:2 * d], "x": gram[:d, d:2 * d], "xx": gram[2 * d:, d:2 * d], "xy": gram[:d, :d]}
+
+
 def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """(first, second, correlation) for every pair of numeric columns, one aggregation."""
+    """(first, second, correlation) for every pair of numeric columns, over the rows in which
+    both are present; null where one side is constant."""
     names = list(names or columns.numeric_columns(df))
-    pairs = list(combinations(names, 2))
-    if not pairs:
-        return df.select(F.lit("").alias("first"), F.lit("").alias("second"), F.lit(0.0).alias("correlation")).limit(0)
-    row = df.agg(*[_correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[
-        F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"r{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
-    ])
-    return row.select(F.explode(cells).alias("_c")).select("_c.*")
+    schema = "first string, second string, correlation double"
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    m = co_moments(df, names)
+    spread = m["n"] * m["xx"] - m["x"] ** 2
+    flat = spread <= NO_SPREAD * np.maximum(m["n"] * m["xx"], m["n"] ** 2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        found = (m["n"] * m["xy"] - m["x"] * m["x"].T) / np.sqrt(spread * spread.T)
+    rows = [(a, b, None if flat[i, j] or flat[j, i] else float(np.clip(found[i, j], -1, 1)))
+            for (i, a), (j, b) in combinations(enumerate(names), 2)]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def target_correlations(df: DataFrame, target: str, names: Sequence[str] | None = None) -> DataFrame:
@@ -86,28 +119,58 @@ def correlated_pairs(df: DataFrame, above: float = CORRELATION_LIMIT, names: Seq
     return correlation_matrix(df, names).where(F.abs("correlation") > above)
 
 
-def mutual_information(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:
-    """Mutual information in nats of categorical columns with the target.
+def contingency(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:
+    """(column, value, y, n): counts of every value of every column by target, written once.
 
-    All contingency tables come from one pass: rows are unfolded to (column, value,
-    target) and folded to counts at once, on the map side first.
+    All tables come from one pass: rows are unfolded to (column, value, target) and folded
+    to counts at once, on the map side first. Information, uniqueness, null counts and the
+    correlation of a numeric column with the target are all sums over it.
     """
-    cells = F.array(*[
-        F.struct(F.lit(n).alias("column"), F.coalesce(F.col(n).cast("string"), F.lit("nan")).alias("x"))
-        for n in names
-    ])
-    pairs = session.cut_lineage(
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("value")) for n in names])
+    return session.staged(
         df.select(F.col(target).cast("string").alias("y"), F.explode(cells).alias("_c")).select("y", "_c.*")
-        .groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+        .groupBy("column", "value", "y").agg(F.count(F.lit(1)).alias("n")), "contingency")
+
+
+def information_of(counts: DataFrame) -> DataFrame:
+    """Mutual information in nats of each column of :func:`contingency` with the target."""
+    pairs = counts.select("column", F.coalesce("value", F.lit("nan")).alias("x"), "y", "n").groupBy("column", "x", "y").agg(F.sum("n").alias("n"))
     xs = pairs.groupBy("column", "x").agg(F.sum("n").alias("nx"))
     ys = pairs.groupBy("column", "y").agg(F.sum("n").alias("ny"))
-    totals = pairs.groupBy("column").agg(F.sum("n").alias("t"))
-    joint = pairs.join(xs, ["column", "x"]).join(ys, ["column", "y"]).join(totals, "column")
+    totals = ys.groupBy("column").agg(F.sum("ny").alias("t"))
+    joint = slices.join_null_safe(pairs.join(xs, ["column", "x"]), ys, ["column", "y"], "inner").join(totals, "column")
     term = F.col("n") / F.col("t") * F.log(
         F.col("n").cast("double") * F.col("t") / (F.col("nx").cast("double") * F.col("ny")))
     return joint.groupBy("column").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mutual_information"))
 
 
+def uniqueness_of(counts: DataFrame) -> DataFrame:
+    """Distinct values, their share of the rows and the nulls of each column."""
+    values = counts.groupBy("column", "value").agg(F.sum("n").alias("n"))
+    return values.groupBy("column").agg(
+        F.count("value").alias("uniques"), F.try_divide(F.count("value"), F.sum("n")).alias("unique_ratio"),
+        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"))
+
+
+def correlations_of(counts: DataFrame) -> DataFrame:
+    """Pearson correlation of each numeric column with a numeric target, over folded rows."""
+    x, y, n = F.col("value").try_cast("double"), F.col("y").try_cast("double"), F.col("n").cast("double")
+    present = counts.where(x.isNotNull() & y.isNotNull()).select("column", x.alias("x"), y.alias("y"), n.alias("n"))
+    middle = present.groupBy("column").agg(
+        F.try_divide(F.sum(F.col("x") * F.col("n")), F.sum("n")).alias("mx"), F.try_divide(F.sum(F.col("y") * F.col("n")), F.sum("n")).alias("my"),
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    spread = F.sqrt(F.sum(dx * dx * F.col("n")) * F.sum(dy * dy * F.col("n")))
+    varies = F.first((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")))
+    return present.join(middle, "column").groupBy("column").agg(
+        F.when(varies, F.try_divide(F.sum(dx * dy * F.col("n")), spread)).alias("correlation"))
+
+
+def mutual_information(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:
+    """Mutual information in nats of categorical columns with the target."""
+    return information_of(contingency(df, names, target))
+
+
 def unique_ratios(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Distinct values per column and their share of the rows.
 
@@ -116,14 +179,11 @@ def unique_ratios(df: DataFrame, names: Sequence[str] | None = None) -> DataFram
     """
     names = list(names or df.columns)
     cells = F.array(*[
-        F.struct(F.lit(n).alias("column"), F.col(n).cast("string").alias("value")) for n in names
+        F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("value")) for n in names
     ])
     values = df.select(F.explode(cells).alias("_c")).select("_c.*")
     counts = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("column").agg(
-        F.count("value").alias("uniques"),
-        F.try_divide(F.count("value"), F.sum("n")).alias("unique_ratio"),
-    )
+    return uniqueness_of(counts).drop("nulls")
 
 
 def _named_like(words: Sequence[str]) -> Column:
@@ -171,28 +231,31 @@ def audit_rows(
     candidates = [c for c in df.columns if c not in (target, time_column)]
     numeric = [c for c in columns.numeric_columns(df) if c in candidates]
     textual = [c for c in columns.categorical_columns(df) if c in candidates]
+    tie = [c for c in ("log_serial_number",) if c in df.columns]
+    spaced = [c for c in (group, time_column, *tie) if c] if time_column and group else []
+    # computed once, in narrow form: the contingency and the spacing both read it
+    rows = session.staged(df.select(*dict.fromkeys([*candidates, target, *spaced])), "audited")
+    counts = contingency(rows, candidates, target)
     findings = []
     if numeric:
         strength = F.abs("correlation")
         findings.append(_finding(
-            target_correlations(df, target, numeric), "target_signal", "abs_correlation", strength,
+            correlations_of(counts.where(F.col("column").isin(numeric))), "target_signal", "abs_correlation", strength,
             strength > CORRELATION_LIMIT))
     if textual:
         information = F.col("mutual_information")
         findings.append(_finding(
-            mutual_information(df, textual, target), "target_signal", "mutual_information", information,
+            information_of(counts.where(F.col("column").isin(textual))), "target_signal", "mutual_information", information,
             information > INFORMATION_LIMIT))
-    ratios = unique_ratios(df, candidates)
     ratio = F.col("unique_ratio")
     if extended:
         suspicious = _named_like(EXTENDED_ID_WORDS) | (ratio > UNIQUE_LIMIT)
     else:
         suspicious = (ratio > UNIQUE_LIMIT) | (
             _named_like(NOTEBOOK_ID_WORDS) & (F.col("uniques") > UNIQUE_COUNT_LIMIT))
-    findings.append(_finding(ratios, "identifier", "unique_ratio", ratio, suspicious))
-    if time_column and group:
-        tie = [c for c in ("log_serial_number",) if c in df.columns]
-        gaps = sequence.outage_spacing(df, [group], [time_column, *tie], flag=target)
+    findings.append(_finding(uniqueness_of(counts), "identifier", "unique_ratio", ratio, suspicious))
+    if spaced:
+        gaps = sequence.outage_spacing(rows, [group], [time_column, *tie], flag=target)
         close = F.col("short_gaps")
         findings.append(_finding(
             gaps.withColumn("column", F.lit(time_column)), "outage_spacing", "short_gaps", close, close > 0))
