@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from towerlens.catalog import sequences
-from towerlens.catalog.base import alarms, integers, raw, rounded, table, with_alarms, with_raw
+from towerlens.catalog.base import alarms, integers, raw, rounded, table, with_alarms, with_raw, with_towers
 from towerlens.catalog.grids import _matrix_sql, matrix
 from towerlens.catalog.registry import Area
 from towerlens.operators import quality
@@ -17,15 +17,16 @@ register = Area()
 QUERIES, SQL = register.queries, register.sql
 
 _NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
+_ALL_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 def _pair_sql(a: str, b: str) -> str:
     return f"SELECT '{a}' AS first, '{b}' AS second, round(corr({a}, {b}), 6) AS correlation FROM lineitem"
 
 
-@register("f20_correlation_matrix", " UNION ALL ".join(_pair_sql(a, b) for a, b in combinations(_NUMBERS, 2)))
+@register("f20_correlation_matrix", " UNION ALL ".join(_pair_sql(a, b) for a, b in combinations(_ALL_NUMBERS, 2)))
 def f20(spark, sf_dir):
-    rows = quality.correlation_matrix(table(spark, sf_dir, "lineitem"), _NUMBERS)
+    rows = quality.correlation_matrix(table(spark, sf_dir, "lineitem"))
     return rows.select("first", "second", *rounded("correlation"))
 
 
@@ -39,11 +40,12 @@ def f21(spark, sf_dir):
 
 
 @register("f22_correlated_pairs",
-          "SELECT 'l_quantity' AS first, 'l_charge' AS second, round(corr(l_quantity, l_quantity * 3 + l_tax), 6) AS correlation FROM lineitem")
+          "SELECT * FROM (" + " UNION ALL ".join(
+              f"SELECT '{a}' AS first, '{b}' AS second, round(corr({a}, {b}), 6) AS correlation FROM (SELECT *, l_quantity * 3 + l_tax AS l_charge FROM lineitem)"
+              for a, b in combinations((*_ALL_NUMBERS, "l_charge"), 2)) + ") WHERE abs(correlation) > 0.7")
 def f22(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("l_charge", F.col("l_quantity") * 3 + F.col("l_tax"))
-    names = ("l_quantity", "l_discount", "l_tax", "l_linenumber", "l_charge")
-    return quality.correlated_pairs(rows, 0.7, names).select("first", "second", *rounded("correlation"))
+    return quality.correlated_pairs(rows, 0.7).select("first", "second", *rounded("correlation"))
 
 
 _INFORMATION = (
@@ -59,13 +61,13 @@ def f23(spark, sf_dir):
     return rows.select("column", *rounded("mutual_information"))
 
 
-_UNIQUE = ("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+_UNIQUE = (*_ALL_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate")
 
 
 @register("f24_unique_ratio", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS uniques, round(count(DISTINCT {c}) / count(*)::DOUBLE, 6) AS unique_ratio FROM lineitem" for c in _UNIQUE))
 def f24(spark, sf_dir):
-    rows = quality.unique_ratios(table(spark, sf_dir, "lineitem"), _UNIQUE)
+    rows = quality.unique_ratios(table(spark, sf_dir, "lineitem"))
     return rows.select("column", *integers("uniques"), *rounded("unique_ratio"))
 
 
@@ -120,7 +122,7 @@ def _row_audit_sql(extended: bool) -> str:
         rows.append(f"SELECT 'identifier', '{c}', 'unique_ratio', round({_RATIO.format(c=c)}, 6), {rule} FROM alarms")
     rows.append(
         "SELECT 'outage_spacing', 'event_time', 'short_gaps', count(*) FILTER (WHERE gap < 300000000)::DOUBLE, count(*) FILTER (WHERE gap < 300000000) > 0 FROM "
-        "(SELECT us - lag(us) OVER (PARTITION BY enodeb_id ORDER BY us, log_serial_number) AS gap FROM alarms WHERE is_cell_unavailable = 1)")
+        "(SELECT us - lag(us) OVER (PARTITION BY enodeb_id ORDER BY us, log_serial_number) AS gap FROM alarms WHERE is_cell_unavailable = 1 AND enodeb_id <> '-')")
     return with_alarms(" UNION ALL ".join(rows))
 
 
@@ -139,7 +141,7 @@ def k17_extended(spark, sf_dir):
 _VALID = ("previous_alarm_1", "severity_encoded", "sequence_length", "twice")
 
 
-@register("k18_validate_matrix", with_alarms(
+@register("k18_validate_matrix", with_towers(
     "SELECT 'missing' AS \"check\", 'previous_alarm_1' AS \"column\", 'nulls' AS metric, count(*) FILTER (WHERE previous_alarm_1 = -1)::DOUBLE AS value, "
     "count(*) FILTER (WHERE previous_alarm_1 = -1) > 0 AS flagged FROM rows18 "
     "UNION ALL SELECT 'missing', c, 'nulls', 0, false FROM (VALUES ('severity_encoded'), ('sequence_length'), ('twice'), ('month')) v(c) "

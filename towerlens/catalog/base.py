@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from towerlens import session
-from towerlens.functions import text
+from towerlens.functions import keywords, text
 from towerlens.operators import clean
 
 # Raw alarm rows from `events`; the expressions run unchanged in Spark and DuckDB.
@@ -19,7 +19,7 @@ RAW = {
         "ELSE 'S' || lpad(CAST(user_id % 10000 AS STRING), 4, '0') || CAST(user_id % 10 AS STRING) || '_LTE_A' END"
     ),
     "mo_name": "CASE WHEN user_id % 20 = 0 THEN '-' ELSE 'NODE-' || CAST(user_id AS STRING) || '_NR_B' END",
-    "enodeb_id": "CAST(80000 + user_id AS STRING)",
+    "enodeb_id": "CASE WHEN user_id % 5 = 2 THEN '-' ELSE CAST(80000 + user_id AS STRING) END",
     "gnodeb_id": "CASE WHEN user_id % 4 = 0 THEN CAST(90000 + user_id AS STRING) ELSE '-' END",
     "name": (
         "CASE WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'Cell Outage' "
@@ -112,16 +112,6 @@ def sql_any(column: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
 
-_CLEAN_FLAGS = {
-    "is_cell_unavailable": ["cell unavailable"],
-    "is_cell_outage": ["cell outage", "cell service outage", "cell down"],
-    "is_cell_fault": ["cell fault", "cell hardware fault"],
-    "is_service_unavailable": ["service unavailable", "service degradation"],
-    "is_bbu": ["bbu", "board", "subrack", "transmission", "baseband"],
-    "is_rru": ["rf", "rru", "vswr", "feeder", "antenna"],
-    "is_power": ["generator failure", "dc high/low voltage", "power", "mains", "rectifier", "battery", "ac fail", "dc fail"],
-}
-
 _MINUTES = (
     "coalesce(TRY_CAST(regexp_extract(lower({c}), '([0-9]+)\\s*hour', 1) AS DOUBLE), 0) * 60 + "
     "coalesce(TRY_CAST(regexp_extract(lower({c}), '([0-9]+)\\s*min', 1) AS DOUBLE), 0) + "
@@ -134,7 +124,7 @@ CLEAN_SQL = (
     + ", flagged AS (SELECT * REPLACE (upper(left(severity, 1)) || lower(substr(severity, 2)) AS severity), "
     + "CASE WHEN node0 = '-' THEN CASE WHEN enodeb_id <> '-' THEN enodeb_id ELSE gnodeb_id END ELSE node0 END AS node_identifier, "
     + "name AS alarm_name, " + _MINUTES.format(c="alarm_duration") + " AS duration_minutes, "
-    + ", ".join(f"CAST({sql_any('lower(name)', w)} AS INT) AS {f}" for f, w in _CLEAN_FLAGS.items())
+    + ", ".join(f"CAST({sql_any('lower(name)', w)} AS INT) AS {f}" for f, w in keywords.CLEANING.items())
     + " FROM ident)"
     + ", alarms AS (SELECT *, is_cell_unavailable AS is_outage, "
     + "CASE WHEN site_id <> '-' AND site_id <> 'UNKNOWN' THEN site_id ELSE node_identifier END AS entity, "
@@ -150,3 +140,11 @@ def with_raw(sql: str) -> str:
 
 def with_alarms(sql: str, *more: str) -> str:
     return "WITH " + ", ".join([CLEAN_SQL, *more]) + " " + sql
+
+
+#: Only alarms of towers that have an eNodeB, under the name the analyses read.
+_TOWERS = ", alarms AS (SELECT * FROM all_alarms WHERE enodeb_id <> '-')"
+
+
+def with_towers(sql: str, *more: str) -> str:
+    return "WITH " + ", ".join([CLEAN_SQL.replace(", alarms AS (", ", all_alarms AS (") + _TOWERS, *more]) + " " + sql

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from towerlens.catalog.base import alarms, integers, raw, rounded, table, with_alarms, with_raw
+from towerlens.catalog.base import alarms, integers, raw, rounded, table, with_towers, with_raw
 from towerlens.catalog.registry import Area
 from towerlens.functions import text, timeparts
-from towerlens.operators import encode, sequence, slices
+from towerlens.operators import clean, encode, sequence, slices
 
 register = Area()
 QUERIES, SQL = register.queries, register.sql
@@ -53,7 +53,7 @@ _W = "WINDOW w AS (PARTITION BY enodeb_id ORDER BY event_time, log_serial_number
 
 
 def sliced(df: DataFrame) -> slices.Sliced:
-    return slices.slice_groups(df, KEYS, ORDER)
+    return slices.slice_groups(clean.towers(df, KEYS), KEYS, ORDER)
 
 
 def lagged(spark, sf_dir) -> DataFrame:
@@ -63,13 +63,13 @@ def lagged(spark, sf_dir) -> DataFrame:
 _LAG_NAMES = [f"{stem}_{i}" for stem in sequence.LAGGED.values() for i in range(1, 6)]
 
 
-@register("g1_lag_features", with_alarms(
+@register("g1_lag_features", with_towers(
     "SELECT log_serial_number, " + ", ".join(_LAG_NAMES) + " FROM lagged", CODED_SQL, LAGGED_SQL))
 def g1(spark, sf_dir):
     return lagged(spark, sf_dir).select("log_serial_number", *_LAG_NAMES)
 
 
-@register("g2_gap_minutes", with_alarms(
+@register("g2_gap_minutes", with_towers(
     "SELECT log_serial_number, coalesce((us - lag(us) OVER w)::DOUBLE / 60000000::DOUBLE, 0) AS time_gap_previous_alarm "
     "FROM alarms " + _W))
 def g2(spark, sf_dir):
@@ -77,14 +77,14 @@ def g2(spark, sf_dir):
     return rows.select("log_serial_number", "time_gap_previous_alarm")
 
 
-@register("g3_position", with_alarms(
+@register("g3_position", with_towers(
     "SELECT log_serial_number, row_number() OVER w - 1 AS sequence_length FROM alarms " + _W))
 def g3(spark, sf_dir):
     return sequence.position(sliced(alarms(spark, sf_dir))).rows().select(
         "log_serial_number", *integers("sequence_length"))
 
 
-@register("g4_repeat_count", with_alarms(
+@register("g4_repeat_count", with_towers(
     "SELECT log_serial_number, row_number() OVER (PARTITION BY enodeb_id, alarm_name ORDER BY event_time, "
     "log_serial_number) - 1 AS alarm_repeat_count FROM alarms"))
 def g4(spark, sf_dir):
@@ -92,7 +92,7 @@ def g4(spark, sf_dir):
         "log_serial_number", *integers("alarm_repeat_count"))
 
 
-@register("g5_outages_before", with_alarms(
+@register("g5_outages_before", with_towers(
     "SELECT log_serial_number, coalesce(sum(is_cell_unavailable) OVER (PARTITION BY enodeb_id ORDER BY event_time, "
     "log_serial_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS previous_cell_unavailable_count FROM alarms"))
 def g5(spark, sf_dir):
@@ -106,12 +106,12 @@ _TARGET = (
 )
 
 
-@register("g6_future_outage", with_alarms(f"SELECT log_serial_number, {_TARGET} FROM alarms"))
+@register("g6_future_outage", with_towers(f"SELECT log_serial_number, {_TARGET} FROM alarms"))
 def g6(spark, sf_dir):
     return sequence.future_outage(sliced(alarms(spark, sf_dir))).rows().select("log_serial_number", "target")
 
 
-@register("g6_future_outage_literal", with_alarms(
+@register("g6_future_outage_literal", with_towers(
     "SELECT log_serial_number, coalesce(lag(m) OVER w, 0)::INT AS target FROM (SELECT *, "
     "max(is_cell_unavailable) OVER (PARTITION BY enodeb_id ORDER BY event_time, log_serial_number "
     "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM alarms) " + _W))
@@ -125,7 +125,7 @@ _FEATURES = [
 ]
 
 
-@register("sequence_features", with_alarms(
+@register("sequence_features", with_towers(
     "SELECT log_serial_number, " + ", ".join(_LAG_NAMES) + ", coalesce((us - lag(us) OVER w)::DOUBLE / 60000000::DOUBLE, 0) AS time_gap_previous_alarm, "
     "row_number() OVER w - 1 AS sequence_length, "
     "row_number() OVER (PARTITION BY enodeb_id, alarm_name ORDER BY event_time, log_serial_number) - 1 AS alarm_repeat_count, "
@@ -136,7 +136,7 @@ def all_features(spark, sf_dir):
     return rows.select("log_serial_number", *_FEATURES, "time_gap_previous_alarm")
 
 
-@register("g11_outage_spacing", with_alarms(
+@register("g11_outage_spacing", with_towers(
     "SELECT count(*) AS outage_rows, count(*) FILTER (WHERE gap < 300000000) AS short_gaps FROM ("
     "SELECT us - lag(us) OVER (PARTITION BY enodeb_id ORDER BY event_time, log_serial_number) AS gap "
     "FROM alarms WHERE is_cell_unavailable = 1)"))
@@ -152,7 +152,7 @@ def _streak_sql(stem: str) -> str:
     return " + ".join(parts)
 
 
-@register("g14_streaks", with_alarms(
+@register("g14_streaks", with_towers(
     f"SELECT log_serial_number, {_streak_sql('previous_alarm_type')} AS consecutive_alarm_streak, "
     f"{_streak_sql('previous_alarm_source')} AS consecutive_source_streak FROM lagged", CODED_SQL, LAGGED_SQL))
 def g14(spark, sf_dir):
@@ -164,7 +164,7 @@ def g14(spark, sf_dir):
 _SOURCES = ", ".join(f"previous_alarm_source_{i}" for i in range(1, 6))
 
 
-@register("g15_distinct_sources", with_alarms(
+@register("g15_distinct_sources", with_towers(
     f"SELECT log_serial_number, len(list_distinct([{_SOURCES}]))::INT AS unique_alarm_sources_5step FROM lagged",
     CODED_SQL, LAGGED_SQL))
 def g15(spark, sf_dir):
@@ -177,7 +177,7 @@ def _matches(weight: str) -> str:
         f"(alarm_type_encoded = previous_alarm_type_{i})::INT * {weight.format(i=i)}" for i in range(1, 6))
 
 
-@register("g16_repeat_ratio", with_alarms(
+@register("g16_repeat_ratio", with_towers(
     f"SELECT log_serial_number, round(({_matches('1')}) / 5.0, 6)::DOUBLE AS alarm_repeat_ratio_5step FROM lagged",
     CODED_SQL, LAGGED_SQL))
 def g16(spark, sf_dir):
@@ -185,7 +185,7 @@ def g16(spark, sf_dir):
     return lagged(spark, sf_dir).select("log_serial_number", F.round(ratio, 6).alias("alarm_repeat_ratio_5step"))
 
 
-@register("g17_weighted_repeats", with_alarms(
+@register("g17_weighted_repeats", with_towers(
     f"SELECT log_serial_number, round(({_matches('1.0::DOUBLE / {i}')}), 6)::DOUBLE AS weighted_alarm_repeat_score FROM lagged",
     CODED_SQL, LAGGED_SQL))
 def g17(spark, sf_dir):
@@ -193,7 +193,7 @@ def g17(spark, sf_dir):
     return lagged(spark, sf_dir).select("log_serial_number", F.round(score, 6).alias("weighted_alarm_repeat_score"))
 
 
-@register("g17_last_repeat", with_alarms(
+@register("g17_last_repeat", with_towers(
     "SELECT log_serial_number, (alarm_type_encoded = previous_alarm_type_1)::INT::DOUBLE AS weighted_alarm_repeat_score FROM lagged",
     CODED_SQL, LAGGED_SQL))
 def g17_last(spark, sf_dir):
@@ -201,7 +201,7 @@ def g17_last(spark, sf_dir):
     return lagged(spark, sf_dir).select("log_serial_number", score.alias("weighted_alarm_repeat_score"))
 
 
-@register("g18_transition_frequency", with_alarms(
+@register("g18_transition_frequency", with_towers(
     "SELECT log_serial_number, previous_alarm_type_1 || '->' || alarm_type_encoded AS pair, "
     "round(count(*) OVER (PARTITION BY previous_alarm_type_1, alarm_type_encoded) / (count(*) OVER ())::DOUBLE, 6) AS transition_pair_frequency "
     "FROM lagged", CODED_SQL, LAGGED_SQL))
@@ -212,7 +212,7 @@ def g18(spark, sf_dir):
     return shared.select("log_serial_number", "pair", *rounded("transition_pair_frequency"))
 
 
-@register("g14_to_g18_shapes", with_alarms(
+@register("g14_to_g18_shapes", with_towers(
     f"SELECT log_serial_number, {_streak_sql('previous_alarm_type')} AS consecutive_alarm_streak, "
     f"{_streak_sql('previous_alarm_source')} AS consecutive_source_streak, "
     f"len(list_distinct([{_SOURCES}]))::INT AS unique_alarm_sources_5step, "
@@ -229,7 +229,7 @@ def shapes(spark, sf_dir):
 
 def _before_sql(length: int) -> str:
     text_sql = " || ' -> ' || ".join(f"previous_alarm_{i}" for i in range(length, 0, -1))
-    return with_alarms(
+    return with_towers(
         f"SELECT {length} AS length, {'CAST(previous_alarm_1 AS STRING)' if length == 1 else text_sql} AS sequence, count(*) AS n, "
         "round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM labelled WHERE target = 1), 2) AS percentage "
         "FROM labelled WHERE target = 1 GROUP BY sequence ORDER BY n DESC, sequence LIMIT 10",

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from towerlens.catalog import sequences
-from towerlens.catalog.base import alarms, integers, naive, raw, rounded, table, with_alarms, with_raw
+from towerlens.catalog.base import alarms, integers, naive, raw, rounded, table, with_alarms, with_raw, with_towers
 from towerlens.catalog.grids import _matrix_sql, matrix
 from towerlens.catalog.registry import Area
 
-from towerlens.operators import encode, explore, quality, quantiles, sequence
+from towerlens.operators import clean, encode, explore, quality, quantiles, sequence
 from towerlens.settings import Settings
 
 register = Area()
@@ -61,7 +61,7 @@ def f5_overall(spark, sf_dir):
     return explore.distinct_count(table(spark, sf_dir, "lineitem"), "l_partkey")
 
 
-@register("f6_severity_by_target", with_alarms(
+@register("f6_severity_by_target", with_towers(
     "SELECT severity, round(1 - avg(target), 6) AS share_0, round(avg(target), 6) AS share_1 FROM labelled GROUP BY 1", *_LABELLED))
 def f6(spark, sf_dir):
     rows = explore.crosstab_shares(labelled(spark, sf_dir), "severity", "target")
@@ -79,18 +79,18 @@ def f6_orders(spark, sf_dir):
 _RISK = "risks AS (SELECT previous_alarm_1, avg(target) AS risk, count(*) AS n FROM labelled GROUP BY 1)"
 
 
-@register("f7_highest_risk", with_alarms(
+@register("f7_highest_risk", with_towers(
     "SELECT previous_alarm_1, round(risk, 6) AS risk, n FROM risks ORDER BY risks.risk DESC, previous_alarm_1 LIMIT 20", *_LABELLED, _RISK))
 def f7(spark, sf_dir):
     risks = explore.conditional_risk(labelled(spark, sf_dir), "previous_alarm_1")
     return explore.highest_risk(risks, "previous_alarm_1").select("previous_alarm_1", *rounded("risk"), "n")
 
 
-@register("h3_lowest_risk", with_alarms(
-    "SELECT previous_alarm_1, round(risk, 6) AS risk, n FROM risks WHERE risk > 0 ORDER BY risks.risk, previous_alarm_1 DESC LIMIT 5", *_LABELLED, _RISK))
+@register("h3_lowest_risk", with_towers(
+    "SELECT previous_alarm_1, round(risk, 6) AS risk, n FROM risks WHERE risk > 0 ORDER BY risks.risk, previous_alarm_1 DESC LIMIT 20", *_LABELLED, _RISK))
 def h3(spark, sf_dir):
     risks = explore.conditional_risk(labelled(spark, sf_dir), "previous_alarm_1")
-    return explore.lowest_risk(risks, "previous_alarm_1", 5).select("previous_alarm_1", *rounded("risk"), "n")
+    return explore.lowest_risk(risks, "previous_alarm_1", 20).select("previous_alarm_1", *rounded("risk"), "n")
 
 
 _DAY_COLUMNS = ", ".join(f"count(*) FILTER (WHERE dayname(event_time) = '{d}') AS {d}" for d in explore.DAYS)
@@ -113,11 +113,11 @@ def f9(spark, sf_dir):
     return rows.withColumn("day", F.col("day").cast("string"))
 
 
-@register("f10_tower_averages", with_alarms(
+@register("f10_tower_averages", with_towers(
     "SELECT round(avg(a), 6) AS alarms_per_tower, round(avg(o) FILTER (WHERE o > 0), 6) AS outages_per_affected_tower, "
     "round(sum(o) / count(*)::DOUBLE, 6) AS outages_per_tower FROM (SELECT enodeb_id, count(*) AS a, sum(is_cell_unavailable) AS o FROM alarms GROUP BY 1)"))
 def f10(spark, sf_dir):
-    rows = explore.tower_averages(alarms(spark, sf_dir), "enodeb_id", "is_cell_unavailable")
+    rows = explore.tower_averages(clean.has_enodeb(alarms(spark, sf_dir)), "enodeb_id", "is_cell_unavailable")
     return rows.select(*rounded("alarms_per_tower", "outages_per_affected_tower", "outages_per_tower"))
 
 
@@ -125,7 +125,7 @@ _CATEGORY = {0: "Hardware", 2: "Outage", 3: "Power", 4: "Radio", 5: "Transmissio
 _CATEGORY_SQL = "CASE {c} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _CATEGORY.items()) + " ELSE 'Other' END"
 
 
-@register("f11_category_contribution", with_alarms(
+@register("f11_category_contribution", with_towers(
     "SELECT category, sum(a)::BIGINT AS alarms, sum(o)::BIGINT AS outages, "
     "round(sum(a) / (SELECT count(*) FROM labelled)::DOUBLE * 100, 2) AS alarm_percentage, "
     "round(sum(o) / (SELECT sum(target) FROM labelled)::DOUBLE * 100, 2) AS outage_percentage FROM ("
@@ -172,7 +172,7 @@ def f13(spark, sf_dir):
     return explore.snapshot_kpis(scored, "p")
 
 
-_DESCRIBED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_DESCRIBED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 _STATS = ("count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
@@ -181,7 +181,7 @@ _STATS = ("count", "mean", "std", "min", "q25", "q50", "q75", "max")
     f"round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, "
     f"round(quantile_cont({c}, 0.75), 4) AS q75, round(max({c}), 4) AS max FROM lineitem" for c in _DESCRIBED))
 def f14(spark, sf_dir):
-    rows = quantiles.describe(table(spark, sf_dir, "lineitem"), _DESCRIBED)
+    rows = quantiles.describe(table(spark, sf_dir, "lineitem"))
     return rows.select("column", *integers("count"), *rounded(*_STATS[1:], places=4))
 
 
@@ -192,7 +192,7 @@ _TEXTS = ("l_returnflag", "l_linestatus")
     f"SELECT '{c}' AS \"column\", (SELECT count({c}) FROM lineitem) AS count, (SELECT count(DISTINCT {c}) FROM lineitem) AS \"unique\", "
     f"v AS top, n AS freq FROM (SELECT {c} AS v, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, v LIMIT 1)" for c in _TEXTS))
 def f14_text(spark, sf_dir):
-    return quantiles.describe_text(table(spark, sf_dir, "lineitem"), _TEXTS).select(
+    return quantiles.describe_text(table(spark, sf_dir, "lineitem")).select(
         "column", *integers("count", "unique"), "top", *integers("freq"))
 
 
@@ -312,9 +312,11 @@ def i1(spark, sf_dir):
     return explore.union_all([orders, lines])
 
 
-@register("i2_distinct_rows", with_raw("SELECT DISTINCT name, severity, location_information FROM raw"))
+@register("i2_distinct_rows", with_raw("SELECT DISTINCT * FROM (SELECT * FROM raw UNION ALL SELECT * FROM raw WHERE log_serial_number % 3 = 0)"))
 def i2(spark, sf_dir):
-    return raw(spark, sf_dir).select("name", "severity", "location_information").dropDuplicates()
+    rows = raw(spark, sf_dir)
+    kept = rows.unionByName(rows.where("log_serial_number % 3 = 0")).dropDuplicates()
+    return kept.withColumns({c: naive(c) for c in ("event_time", "received_on")})
 
 
 @register("i3_keyed_distinct", "SELECT l_suppkey, min(l_orderkey * 10 + l_linenumber)::BIGINT AS first_line FROM lineitem GROUP BY 1")
@@ -331,13 +333,15 @@ def i4(spark, sf_dir):
 
 
 @register("i5_name_difference", with_raw(
-    "SELECT count(alarm_source) + count(mo_name) + count(severity) AS cells FROM raw"))
+    "SELECT \"column\", cells FROM (SELECT 'severity' AS \"column\", count(severity) AS cells FROM raw UNION ALL "
+    "SELECT 'location_information', count(location_information) FROM raw UNION ALL SELECT 'name', count(name) FROM raw)"))
 def i5(spark, sf_dir):
+    """Cells of the columns that one list of names has and the other has not."""
+    from towerlens.operators import columns
     rows = raw(spark, sf_dir)
-    left = ("alarm_source", "mo_name", "severity", "enodeb_id", "gnodeb_id")
-    kept = [c for c in left if c not in ("enodeb_id", "gnodeb_id")]
-    counted = rows.agg(*[F.count(c).alias(c) for c in kept])
-    return counted.select((F.col(kept[0]) + F.col(kept[1]) + F.col(kept[2])).alias("cells"))
+    dropped = [c for c in rows.columns if c not in ("severity", "location_information", "name")]
+    left = columns.drop_present(rows, dropped)
+    return quality.profile(left).select("column", F.col("non_null").alias("cells"))
 
 
 @register("f15_null_counts", with_raw(
@@ -349,34 +353,46 @@ def f15(spark, sf_dir):
     return quality.null_counts(columns.placeholders_to_null(raw(spark, sf_dir)))
 
 
-@register("f16_duplicate_rows", "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_quantity, l_discount, l_tax FROM lineitem)) AS duplicates FROM lineitem")
+@register("f16_duplicate_rows", "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM twice)) AS duplicates FROM twice".replace(
+    "twice", "(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 3)"))
 def f16(spark, sf_dir):
-    return quality.duplicate_rows(table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_discount", "l_tax"))
+    rows = table(spark, sf_dir, "lineitem")
+    return quality.duplicate_rows(rows.unionByName(rows.where("l_linenumber = 3")))
 
 
-_PROFILED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderpriority": "string"}
+_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+          "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
 
 
 @register("f17_profile", " UNION ALL ".join(
-    f"SELECT count(*) AS rows, '{c}' AS \"column\", '{_TYPES[c]}' AS type, count({c}) AS non_null FROM orders" for c in _PROFILED))
+    f"SELECT count(*) AS rows, '{c}' AS \"column\", '{t}' AS type, count({c}) AS non_null FROM orders" for c, t in _TYPES.items()))
 def f17(spark, sf_dir):
-    return quality.profile(table(spark, sf_dir, "orders").select(*_PROFILED))
+    return quality.profile(table(spark, sf_dir, "orders"))
 
 
 @register("e10_disjoint_groups", with_alarms(
-    "SELECT 0::BIGINT AS shared_groups"))
+    "SELECT l AS left_part, r AS right_part, 0::BIGINT AS shared_groups, (SELECT count(DISTINCT entity) FROM alarms) AS all_groups "
+    "FROM (VALUES ('test', 'validation'), ('test', 'train'), ('validation', 'train')) v(l, r)"))
 def e10(spark, sf_dir):
+    """Groups that two parts share, for each pair of parts, and the groups of all parts together."""
+    from itertools import combinations
+
     from towerlens.operators import split
     parts = split.group_split(alarms(spark, sf_dir), "entity")
-    return split.shared_groups(parts["train"], parts["test"], "entity")
+    groups = explore.union_all([p.select("entity").distinct() for p in parts.values()])
+    total = groups.agg(F.count(F.lit(1)).alias("all_groups"))
+    pairs = [split.shared_groups(parts[a], parts[b], "entity").select(
+        F.lit(a).alias("left_part"), F.lit(b).alias("right_part"), "shared_groups") for a, b in combinations(parts, 2)]
+    return explore.union_all(pairs).withColumn("all_groups", total.scalar())
 
 
 @register("e1_label_rows", with_raw(
-    "SELECT log_serial_number FROM raw WHERE name IN (SELECT name FROM raw GROUP BY name ORDER BY count(*) DESC, name LIMIT 3)"))
+    "SELECT log_serial_number FROM raw WHERE location_information IN "
+    "(SELECT location_information FROM raw GROUP BY 1 ORDER BY count(*) DESC, location_information LIMIT 15)"))
 def e1(spark, sf_dir):
+    """Rows of the fifteen most frequent values."""
     rows = raw(spark, sf_dir)
-    names = explore.frequency(rows, "name", 3).select("name")
-    return rows.join(names, "name", "left_semi").select("log_serial_number")
+    names = explore.frequency(rows, "location_information", 15).select("location_information")
+    return rows.join(names, "location_information", "left_semi").select("log_serial_number")
 
 

@@ -83,5 +83,13 @@ def has_enodeb(df: DataFrame) -> DataFrame:
     return df.where(F.col("enodeb_id").isNotNull() & ~value.isin("nan", "", "-"))
 
 
+def towers(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that belong to a tower: where the key is the eNodeB, those that have one.
+
+    Rows without an eNodeB are no tower of their own; they neither precede nor follow.
+    """
+    return has_enodeb(df) if "enodeb_id" in keys else df
+
+
 def outage_condition() -> Column:
     return F.col("is_cell_unavailable") == 1

@@ -2,7 +2,8 @@
 
 Questions of the form "is there an alarm of kind X within d" are answered with running
 totals over one ordering, linear in the events. Only the pair listing joins, on (tower,
-time bucket), after equal alarms have been folded into counts.
+time bucket), after equal alarms have been folded into counts. Rows without the key of a
+tower belong to none and are left out first.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from towerlens import session
 from towerlens.functions import keywords, risk, timeparts
-from towerlens.operators import slices
+from towerlens.operators import clean, slices
 
 
 def _times(df: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
@@ -29,6 +30,7 @@ def split_outages(alarms: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def outage_towers_only(alarms: DataFrame, keys: Sequence[str] = ("enodeb_id",)) -> DataFrame:
     """All alarms of towers with at least one outage."""
+    alarms = clean.towers(alarms, keys)
     towers = split_outages(alarms)[0].select(*keys).distinct()
     return alarms.join(towers, list(keys), "left_semi")
 
@@ -38,6 +40,7 @@ def precursor_pairs(alarms: DataFrame, keys: Sequence[str] = ("enodeb_id",), hou
 
     ``pairs`` counts the equal (outage, alarm) combinations a row stands for.
     """
+    alarms = clean.towers(alarms, keys)
     width = hours * timeparts.HOUR
     outages, others = split_outages(alarms)
     bucket = lambda us: timeparts.floor_index(us, width)
@@ -75,6 +78,7 @@ def precursor_counts(
     The outages in ``(t, t+h]`` of an alarm at t are the difference of the running outage
     count at the two ends, so each alarm becomes two probes in the outage ordering.
     """
+    alarms = clean.towers(alarms, keys)
     width = hours * timeparts.HOUR
     outage = risk.is_outage(F.col("alarm_name"))
     folded = _times(
@@ -133,6 +137,7 @@ def cooccurrence(
     Followed means strictly later, at most ``minutes`` later, on the same tower. Per row
     only the next occurrence of each name matters, so no pair of rows is ever formed.
     """
+    alarms = clean.towers(alarms, keys)
     names = frequent_names(alarms, top)
     if not names:
         return alarms.select(
@@ -173,6 +178,7 @@ def lead_time_prevalence(
     limit: int | None = None,
 ) -> DataFrame:
     """Share of outages with at least one alarm of a category in ``[T-6h, T-1h]``."""
+    alarms = clean.towers(alarms, keys)
     categories = list(keywords.LEAD_TIME)
     us = timeparts.micros(F.col("event_time")).alias("us")
     named = alarms.select(*keys, us, keywords.lowered(F.col("alarm_name")).alias("name"))
@@ -215,6 +221,7 @@ def minute_volume(
 
     ``dense`` adds the silent minutes between a tower's first and last alarm.
     """
+    alarms = clean.towers(alarms, keys)
     minute = timeparts.floor_index(timeparts.micros(F.col("event_time")), timeparts.MINUTE)
     counts = alarms.groupBy(*keys, minute.alias("m")).agg(F.count(F.lit(1)).alias("alarm_count"))
     window = Window.partitionBy(*keys).orderBy("m")
@@ -237,6 +244,7 @@ def minute_volume(
 
 def outages_with_volume(alarms: DataFrame, keys: Sequence[str] = ("enodeb_id",)) -> DataFrame:
     """Each outage with the rolling alarm volume of its minute."""
+    alarms = clean.towers(alarms, keys)
     outages = split_outages(alarms)[0].withColumn("minute", F.date_trunc("minute", "event_time"))
     volume = minute_volume(alarms, keys).select(*keys, "minute", "rolling_alarm_count")
     return outages.join(volume, [*keys, "minute"], "left")
@@ -244,12 +252,14 @@ def outages_with_volume(alarms: DataFrame, keys: Sequence[str] = ("enodeb_id",))
 
 def until_last_outage(alarms: DataFrame, keys: Sequence[str] = ("enodeb_id",)) -> DataFrame:
     """Alarms up to the last outage of their tower; towers without one drop out."""
+    alarms = clean.towers(alarms, keys)
     last = split_outages(alarms)[0].groupBy(*keys).agg(F.max("event_time").alias("_last"))
     return alarms.join(last, list(keys)).where(F.col("event_time") <= F.col("_last")).drop("_last")
 
 
 def busiest_outage_towers(alarms: DataFrame, keys: Sequence[str] = ("enodeb_id",), top: int = 15) -> DataFrame:
     """Towers with an outage that have most other alarms."""
+    alarms = clean.towers(alarms, keys)
     per_tower = alarms.groupBy(*keys).agg(
         F.count_if(~risk.is_outage(F.col("alarm_name"))).alias("other_alarm_count"),
         F.count_if(risk.is_outage(F.col("alarm_name"))).alias("_outages"),
@@ -260,6 +270,7 @@ def busiest_outage_towers(alarms: DataFrame, keys: Sequence[str] = ("enodeb_id",
 
 def outage_timeline(alarms: DataFrame, keys: Sequence[str] = ("enodeb_id",), top: int = 15) -> DataFrame:
     """Labelled alarms of the busiest outage towers up to their last outage."""
+    alarms = clean.towers(alarms, keys)
     towers = busiest_outage_towers(alarms, keys, top).select(*keys)
     chosen = alarms.join(towers, list(keys), "left_semi")
     return until_last_outage(chosen, keys).withColumn(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from towerlens.functions import text, timeparts
-from towerlens.operators import slices
+from towerlens.operators import clean, slices
 from towerlens.operators.slices import Sliced
 
 WINDOW_SIZE = 5
@@ -89,7 +89,7 @@ def sequence_features(
     limit: int | None = None,
 ) -> DataFrame:
     """All sequence features; one shuffle by tower serves every one of them."""
-    sliced = slices.slice_groups(alarms, keys, order, limit)
+    sliced = slices.slice_groups(clean.towers(alarms, keys), keys, order, limit)
     sliced = lag_features(sliced)
     sliced = gap_minutes(sliced, order[0])
     sliced = position(sliced)
@@ -176,7 +176,7 @@ def outage_spacing(
     limit: int | None = None,
 ) -> DataFrame:
     """Rows with the flag, outages closer than ``minutes`` to the one before on the tower."""
-    outages = df.where(F.col(flag) == 1).select(*keys, *order)
+    outages = clean.towers(df, keys).where(F.col(flag) == 1).select(*keys, *order)
     sliced = slices.with_previous_rows(slices.slice_groups(outages, keys, order, limit), 1)
     now = timeparts.micros(F.col(order[0]))
     gap = now - F.lag(now, 1).over(sliced.window())
