@@ -28,7 +28,7 @@ from towerlens.llm import common
 #: Rows that the split points are chosen from; the tree, and what the driver holds, is bounded by it.
 SAMPLE_ROWS = 8_192
 #: Split points of a node, and sample rows below which a node becomes a leaf.
-FAN, LEAF_SAMPLE = 8, 48
+FAN, LEAF_SAMPLE = 8, 256
 #: Numbers the sample holds at most (wide vectors: fewer rows), and levels of the tree.
 SAMPLE_VALUES, DEPTH = 2**20, 24
 #: Rows of a leaf, and anchors, that meet in one multiplication.
