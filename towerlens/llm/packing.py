@@ -18,6 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ END = 1
 REMEMBERED = 400_000
 #: New words that are encoded at once.
 JOINED = 50_000
+#: Bytes of text split at once: the more, the fewer look-ups of the same word.
+SPLIT_BYTES = 12_000_000
 #: Rows of (partition, source) starts that are broadcast at most; beyond, they are joined.
 BROADCAST_ROWS = 200_000
 
@@ -91,22 +94,65 @@ class WordIds:
                 at = end
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each with the space before it."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        cut = [None if any(s in t for s in self.special) else self.words(t) for t in texts]
-        new = {w for own in cut if own for w in own[1] if w not in self.known}
-        back = {w: self.older[w] for w in new if w in self.older}
-        self.known.update(back)
-        learned = self.learn([w for w in new if w not in back])
-        self.known.update(learned)
-        get = self.known.__getitem__
-        out = [self.plain(t) if own is None else (self.plain(own[0]) if own[0] else b"") + b"".join(map(get, own[1])) for t, own in zip(texts, cut)]
-        for word in learned:
-            if len(word) > 64:
-                del self.known[word]
+        found = list(map(self.known.get, words))
+        absent = [i for i, x in enumerate(found) if x is None]
+        for i in absent:
+            found[i] = self.older.get(words[i])
+        fresh = self.learn(list({words[i] for i in absent if found[i] is None and words[i]}))
+        for i in absent:
+            word, own = words[i], found[i]
+            if own is None:
+                found[i] = own = fresh.get(word, b"")
+            if len(word) <= 64:
+                self.known[word] = own
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Texts are split by spaces at once and every distinct word is looked
+        up once; its ids are then copied to all its places by array indexing."""
+        slow = [any(s in t for s in self.special) or bool(spaced(t)) for t in texts]
+        out: list[bytes] = [self._alone(t) if s else b"" for t, s in zip(texts, slow)]
+        fast = [i for i, s in enumerate(slow) if not s]
+        if not fast:
+            return out
+        split = pc.split_pattern(pa.array([texts[i] for i in fast], pa.large_string()), " ")
+        bounds = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        which, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        # what stands before the first space has none before it: entries of its own
+        firsts = split.values.take(pa.array(bounds[:-1])).to_pylist()
+        which[bounds[:-1]] = len(words) + np.arange(len(fast))
+        entries = self.ids_of(words) + [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, entries), np.int64, len(entries)) // self.kind.itemsize
+        starts = np.cumsum(lengths) - lengths
+        known = np.frombuffer(b"".join(entries), self.kind)
+        own = lengths[which]
+        ends = np.cumsum(own)
+        ids = known[np.repeat(starts[which] - (ends - own), own) + np.arange(ends[-1])].tobytes()
+        cuts = (np.r_[0, ends][bounds] * self.kind.itemsize).tolist()
+        for i, lo, hi in zip(fast, cuts, cuts[1:]):
+            out[i] = ids[lo:hi]
         return out
 
+    def _alone(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self.plain(text)
+        first, words = self.words(text)
+        return (self.plain(first) if first else b"") + b"".join(self.ids_of(words))
+
+
+#: ASCII white space after a space.
+_GAPS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", " \x1c", " \x1d", " \x1e", " \x1f")
+
+
+def spaced(text: str) -> bool:
+    """Whether a space stands before white space or at the end, so that it begins no word."""
+    return text.endswith(" ") or any(g in text for g in _GAPS) or (not text.isascii() and _GAP.search(text) is not None)
+
 
 @cache
 def word_ids(path: str) -> WordIds:
@@ -227,15 +273,16 @@ class Cutter:
             lo = end
 
 
-def pack(docs: DataFrame, tokenizer_path: str, targets: Mapping[str, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, targets: Mapping[str, float] | None = None, ids: bool = True) -> DataFrame:
     """All documents in sequences of at most 2048 tokens: one row per piece.
 
     ``targets`` weighs sources; one not named, and without ``targets`` every one, weighs as
     much as it has tokens, so that all queues end together. The piece has its ids as bytes
-    (unsigned 16-bit little-endian). Null text is empty (the end id alone), null source is a
+    (unsigned 16-bit little-endian) unless ``ids`` is false. Null text is empty (the end id alone), null source is a
     queue of its own together with the empty name; repeated rows are packed as often as
     they come. An empty table gives no rows; columns other than doc_id, text and source are
-    not read. The mixture's sources (a bounded list) are summed on the driver.
+    not read. The mixture's sources are summed on the driver; as each needs a token in a
+    round, more than 1,048,576 of them are refused.
     """
     spark = docs.sparkSession
     session.ship_package(spark)
@@ -245,7 +292,7 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: Mapping[str, float] | No
 
         pid, ends = TaskContext.get().partitionId(), {}
         end = np.array([END], "<u2").tobytes()
-        for batch in common.chunks(batches):
+        for batch in common.chunks(batches, limit=SPLIT_BYTES):
             found = word_ids(tokenizer_path).encode([t or "" for t in common.column(batch, "text").to_pylist()])
             queues, begins = common.column(batch, "queue").to_pylist(), []
             ids = [x + end for x in found]
@@ -259,7 +306,9 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: Mapping[str, float] | No
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"), F.col("text").cast("string").alias("text"))
     tokens = common.stage(own.mapInArrow(tokenize, "doc_id long, queue string, pid int, begin long, n long, ids binary"), "tokens")
     sums = common.stage(tokens.groupBy("queue", "pid").agg(F.sum("n").alias("n")), "queues")
-    by_queue = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
+    by_queue = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).limit(ROUND * WINDOW + 1).collect()}
+    if len(by_queue) > ROUND * WINDOW:
+        raise ValueError(f"a round of {ROUND * WINDOW} tokens cannot serve {len(by_queue)} sources")
     names = sorted(by_queue)
     totals = np.array([by_queue[q] for q in names], np.int64)
     whole = float(totals.sum())
@@ -269,31 +318,31 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: Mapping[str, float] | No
     if sums.count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
 
+    columns = ["doc_id", "doc_tokens", "start", "length", "sequence_id", "offset", "ids_crc32"]
+
     def cut(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                columns = [[] for _ in range(7)]
-                pieces = []
-                for doc, queue, begin, n, base, ids in zip(*(common.column(part, c).to_pylist() for c in ("doc_id", "queue", "begin", "n", "base", "ids"))):
+                found, pieces, crcs, docs_of, sizes = [], [], [], [], []
+                for doc, queue, begin, n, base, own in zip(*(common.column(part, c).to_pylist() for c in ("doc_id", "queue", "begin", "n", "base", "ids"))):
                     at = base + begin
-                    wide = memoryview(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
-                    small = memoryview(ids)
+                    wide = memoryview(np.frombuffer(own, "<u2").astype("<u4").tobytes())
                     for windows, offsets, a, lengths in cutter.cut(number[queue], at, at + n):
                         a = a - at
-                        columns[0] += [doc] * len(a)
-                        columns[1] += [n] * len(a)
-                        columns[2] += a.tolist()
-                        columns[3] += lengths.tolist()
-                        columns[4] += windows.tolist()
-                        columns[5] += offsets.tolist()
+                        found.append((a, lengths, windows, offsets))
+                        docs_of += [doc] * len(a)
+                        sizes += [n] * len(a)
                         cuts = list(zip(a.tolist(), (a + lengths).tolist()))
-                        columns[6] += [zlib.crc32(wide[4 * x:4 * y]) for x, y in cuts]
-                        pieces += [bytes(small[2 * x:2 * y]) for x, y in cuts]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(pieces, pa.binary())], ["doc_id", "doc_tokens", "start", "length", "sequence_id", "offset", "ids_crc32", "ids"])
+                        crcs += [zlib.crc32(wide[4 * x:4 * y]) for x, y in cuts]
+                        if ids:
+                            pieces += [own[2 * x:2 * y] for x, y in cuts]
+                numbers = [np.concatenate(x).astype(np.int64) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
+                arrays = [pa.array(docs_of, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, numbers), pa.array(crcs, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(pieces, pa.binary())] if ids else arrays, [*columns, "ids"] if ids else columns)
 
     placed = tokens.join(starts, ["queue", "pid"]).select("doc_id", "queue", "begin", "n", "base", "ids")
-    return placed.mapInArrow(cut, "doc_id long, doc_tokens long, start long, length long, sequence_id long, offset long, ids_crc32 long, ids binary")
+    return placed.mapInArrow(cut, ", ".join(f"{c} long" for c in columns) + (", ids binary" if ids else ""))
 
 
 def tokenizer() -> str:
@@ -303,5 +352,5 @@ def tokenizer() -> str:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = pack(common.table(spark, sf_dir, "documents"), tokenizer())
+    found = pack(common.table(spark, sf_dir, "documents"), tokenizer(), ids=False)
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
