@@ -80,36 +80,42 @@ class WordIds:
                 first += " " + p
         return first, out
 
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        found, width = {}, self.kind.itemsize
+    def learn(self, new: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words of ``sizes`` bytes, each with a space before it: all ids one
+        after the other, and how many each word has."""
+        found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo in range(0, len(new), JOINED):
             some = new[lo:lo + JOINED]
             parts = [" " + " ".join(some[i:i + 500]) for i in range(0, len(some), 500)]
             ids = np.concatenate([np.asarray(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
-            sizes = np.fromiter((len(w.encode()) for w in some), np.int64, len(some)) + 1
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes), "left") + 1
-            raw, at = ids.astype(self.kind).tobytes(), 0
-            for word, end in zip(some, (ends * width).tolist()):
-                found[word] = raw[at:end]
-                at = end
-        return found
-
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words, each with the space before it."""
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes[lo:lo + JOINED] + 1), "left") + 1
+            found.append(ids)
+            counts.append(np.diff(ends, prepend=0))
+        return np.concatenate(found).astype(self.kind), np.concatenate(counts)
+
+    def ids_of(self, words: list[str], sizes: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, each with the space before it: (all ids, first id of each word,
+        ids of each word). ``sizes`` are bytes, ``uses`` how often each is needed now; words
+        needed more than once are remembered."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         found = list(map(self.known.get, words))
-        absent = [i for i, x in enumerate(found) if x is None]
-        for i in absent:
-            found[i] = self.older.get(words[i])
-        fresh = self.learn(list({words[i] for i in absent if found[i] is None and words[i]}))
-        for i in absent:
-            word, own = words[i], found[i]
-            if own is None:
-                found[i] = own = fresh.get(word, b"")
-            if len(word) <= 64:
-                self.known[word] = own
-        return found
+        old = [(i, x) for i, x in ((i, self.older.get(words[i])) for i, x in enumerate(found) if x is None) if x is not None]
+        for i, x in old:
+            found[i] = self.known[words[i]] = x
+        fresh = np.asarray([i for i, x in enumerate(found) if x is None], np.int64)
+        some = fresh[sizes[fresh] > 0]  # the empty word has no ids
+        ids, counts = self.learn([words[i] for i in some.tolist()], sizes[some])
+        lengths = np.fromiter((len(x) if x is not None else 0 for x in found), np.int64, len(found)) // self.kind.itemsize
+        known = np.frombuffer(b"".join(x for x in found if x is not None), self.kind)
+        starts = np.cumsum(lengths) - lengths
+        lengths[some], starts[some] = counts, len(known) + np.cumsum(counts) - counts
+        raw, width = ids.tobytes(), self.kind.itemsize
+        again = np.nonzero((uses[some] > 1) & (sizes[some] <= 64))[0]
+        ends = np.cumsum(counts)
+        for i, lo, hi in zip(some[again].tolist(), ((ends - counts)[again] * width).tolist(), (ends[again] * width).tolist()):
+            self.known[words[i]] = raw[lo:hi]
+        return np.concatenate([known, ids]), starts, lengths
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Texts are split by spaces at once and every distinct word is looked
@@ -122,27 +128,45 @@ class WordIds:
         split = pc.split_pattern(pa.array([texts[i] for i in fast], pa.large_string()), " ")
         bounds = split.offsets.to_numpy()
         coded = split.values.dictionary_encode()
-        which, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        which = coded.indices.to_numpy().astype(np.int64)
         # what stands before the first space has none before it: entries of its own
         firsts = split.values.take(pa.array(bounds[:-1])).to_pylist()
-        which[bounds[:-1]] = len(words) + np.arange(len(fast))
-        entries = self.ids_of(words) + [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, entries), np.int64, len(entries)) // self.kind.itemsize
-        starts = np.cumsum(lengths) - lengths
-        known = np.frombuffer(b"".join(entries), self.kind)
-        own = lengths[which]
-        ends = np.cumsum(own)
-        ids = known[np.repeat(starts[which] - (ends - own), own) + np.arange(ends[-1])].tobytes()
+        which[bounds[:-1]] = len(coded.dictionary) + np.arange(len(fast))
+        own, starts, lengths = self._distinct(coded.dictionary, np.bincount(which, minlength=len(coded.dictionary) + len(fast)))
+        opening = [np.asarray(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, opening), np.int64, len(opening))
+        starts = np.r_[starts, len(own) + np.cumsum(sizes) - sizes]
+        lengths, own = np.r_[lengths, sizes], np.concatenate([own, *opening])
+        many = lengths[which]
+        ends = np.cumsum(many)
+        ids = own[np.repeat(starts[which] - (ends - many), many) + np.arange(ends[-1])].tobytes()
         cuts = (np.r_[0, ends][bounds] * self.kind.itemsize).tolist()
         for i, lo, hi in zip(fast, cuts, cuts[1:]):
             out[i] = ids[lo:hi]
         return out
 
+    def _distinct(self, words: pa.Array, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """:meth:`ids_of` an array of words; those not in use (openings of texts) count as empty."""
+        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        needed = uses[:len(words)] > 0
+        ids, starts, lengths = self.ids_of(words.filter(pa.array(needed)).to_pylist(), sizes[needed], uses[:len(words)][needed])
+        spread = np.zeros((2, len(words)), np.int64)
+        spread[0, needed], spread[1, needed] = starts, lengths
+        return ids, *spread
+
     def _alone(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.plain(text)
         first, words = self.words(text)
-        return (self.plain(first) if first else b"") + b"".join(self.ids_of(words))
+        opening = self.plain(first) if first else b""
+        if not words:
+            return opening
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        which = coded.indices.to_numpy()
+        ids, starts, lengths = self._distinct(coded.dictionary, np.bincount(which))
+        many = lengths[which]
+        ends = np.cumsum(many)
+        return opening + ids[np.repeat(starts[which] - (ends - many), many) + np.arange(ends[-1])].tobytes()
 
 
 #: ASCII white space after a space.
