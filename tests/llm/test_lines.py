@@ -135,3 +135,14 @@ def test_alignment_at_hand_is_an_upper_bound():
             sure += 1
             assert distance(a, b) <= allowed
     assert sure > 50 and op.surely_similar("", "", 0) and not op.surely_similar("a", "b", 0)
+
+
+def test_a_text_of_many_repeated_lines_takes_linear_time(spark):
+    import time
+
+    text = "\n".join(["the very same line of some words"] * 100_000 + ["", "another line altogether", "  "])
+    frame = spark.createDataFrame([(1, text), (2, "the very same line of some words\nown words of this text")], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r.text for r in op.dedup_lines(frame).collect()}
+    assert got == {1: "the very same line of some words\n\nanother line altogether\n  ", 2: "own words of this text"}
+    assert time.time() - start < 60

@@ -19,11 +19,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Staged tables by the staging block they belong to, innermost last.
+_OPEN: list[dict[int, tuple[DataFrame, str]]] = []
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     path = session.scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1][id(found)] = (found, path)
+    return found
+
+
+class staging:
+    """Deletes, at its end, the folders of the tables staged inside it, but for those kept.
+
+    What is kept, or returned to an enclosing block, must have been staged itself: nothing
+    read after the block may still depend on a deleted table. A failure deletes nothing.
+    """
+
+    def __enter__(self) -> staging:
+        _OPEN.append({})
+        self.kept: set[int] = set()
+        return self
+
+    def keep(self, *frames: DataFrame) -> None:
+        self.kept |= set(map(id, frames))
+
+    def __exit__(self, kind, value, trace) -> None:
+        own = _OPEN.pop()
+        for key, (frame, path) in own.items():
+            if kind is not None or key in self.kept:
+                if _OPEN:
+                    _OPEN[-1][key] = (frame, path)
+                continue
+            folder = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__file`` and ``__row``, which name a row in every later reading of it.
+
+    They come from the files' own metadata where ``docs`` reads Parquet files row by row; any
+    other table is written first.
+    """
+    plan = [line.lstrip(" +-:") for line in docs._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip()]
+    if not (all(line.startswith(("Relation [", "Project [", "Filter ")) for line in plan) and plan[-1].rstrip().endswith("parquet")):
+        docs = stage(docs, "rows")
+    about = docs.metadataColumn("_metadata")
+    return docs.select("*", F.xxhash64(about["file_path"]).alias("__file"), about["row_index"].alias("__row"))
 
 
 def row_key(*columns: str):
@@ -88,6 +134,13 @@ def components(links: DataFrame) -> DataFrame:
     node to the smallest id around it and contracts the links to the hooked nodes, so that
     links vanish geometrically; every round is written to the shared folder.
     """
+    with staging() as own:
+        found = _components(links)
+        own.keep(found)
+    return found
+
+
+def _components(links: DataFrame) -> DataFrame:
     edges = stage(
         links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     hooks: list[DataFrame] = []
@@ -95,13 +148,13 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
         hook = stage(hook.select("node", F.least("node", "near").alias("to")), "hooks")
-        hooks.append(hook)
+        hooks.append(hook)  # every hook is read once more at the end
         left = hook.select(F.col("node").alias("a"), F.col("to").alias("to_a"))
         right = hook.select(F.col("node").alias("b"), F.col("to").alias("to_b"))
         moved = edges.join(left, "a").join(right, "b").filter("to_a <> to_b")
         edges = stage(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "links")
     if not hooks:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return stage(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
     found = hooks[0].select("node", F.col("to").alias("component"))
     for hook in hooks[1:]:
         step = hook.select(F.col("node").alias("component"), F.col("to").alias("_next"))

@@ -97,12 +97,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "row_key string, doc_id long, line_no int, line long, fp long, length int")
 
 
-def texts_of(docs: DataFrame, seen: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(line, text) of the lines in ``pairs``: each is read from one document that ``seen``,
-    the table of :func:`lines_of`, names for it; other documents are not split."""
+def texts_of(docs: DataFrame, different: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(line, text) of the lines in ``pairs``: each is read from the one document that
+    ``different``, the table of different lines, names for it; others are not split."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    place = F.min(F.struct("row_key", "line_no")).alias("at")
-    wanted = seen.select("line", "row_key", "line_no").join(ids, "line", "left_semi").groupBy("line").agg(place)
+    wanted = different.select("line", "at").join(ids, "line", "left_semi")
     wanted = wanted.groupBy(F.col("at.row_key").alias("row_key")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "line")).alias("wanted"))
     wanted = common.stage(wanted, "wanted")
     if (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES:
@@ -277,13 +276,14 @@ def _between(dense: DataFrame, tasks: int, every: bool) -> DataFrame:
     return common.stage(found.distinct(), "rest")
 
 
-def line_components(prints: DataFrame, docs: DataFrame, seen: DataFrame) -> DataFrame:
+def line_components(different: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component): connected components of the verified links between different lines.
 
-    ``prints`` has one row (line, fp, length) per different line; ``docs`` and
-    its lines ``seen`` give their texts.
+    ``different`` has one row (line, fp, length, at) per different line; ``at`` names a
+    document in ``docs`` and the line's number there.
     """
-    session.ship_package(prints.sparkSession)
+    session.ship_package(different.sparkSession)
+    prints = different.select("line", "fp", "length")
     tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() * 10 // TASK_ROWS))
 
     def run(batches):
@@ -296,7 +296,7 @@ def line_components(prints: DataFrame, docs: DataFrame, seen: DataFrame) -> Data
 
     found = common.stage(buckets(prints).repartition(tasks, "bucket").mapInArrow(run, "bucket long, a long, b long, fp long, length long"), "buckets")
     pairs = common.stage(found.filter("b is not null").select("a", "b").distinct(), "pairs")
-    known = common.components(_verified(pairs, texts_of(docs, seen, pairs)))
+    known = common.components(_verified(pairs, texts_of(docs, different, pairs)))
     dense = found.filter("b is null").select("bucket", F.col("a").alias("line"), "fp", "length")
     if not dense.take(1):
         return known
@@ -306,7 +306,7 @@ def line_components(prints: DataFrame, docs: DataFrame, seen: DataFrame) -> Data
         rest = _between(dense, tasks, every)
         if not rest.take(1):  # components without any pair stay without one
             break
-        links = _verified(rest.select("a", "b"), texts_of(docs, seen, rest)).join(rest, ["a", "b"])
+        links = _verified(rest.select("a", "b"), texts_of(docs, different, rest)).join(rest, ["a", "b"])
         merged = common.components(links.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
         if not merged.take(1):
             continue
@@ -322,18 +322,21 @@ def line_components(prints: DataFrame, docs: DataFrame, seen: DataFrame) -> Data
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(row_key, dropped): numbers of the lines each document loses."""
-    seen = common.stage(lines_of(docs), "lines")
     first = F.min(F.struct("doc_id", "row_key", "line_no"))
-    different = seen.groupBy("line").agg(F.first("fp").alias("fp"), F.first("length").alias("length"), F.count(F.lit(1)).alias("n"))
-    different = common.stage(different, "different")
-    found = line_components(different.select("line", "fp", "length"), docs, seen)
-    grouped = different.select("line", "n").join(found.withColumnRenamed("node", "line"), "line", "left")
-    # single lines are groups of their own and need no decision
-    grouped = common.stage(grouped.filter("n > 1 or component is not null").select("line", F.coalesce("component", "line").alias("component")), "groups")
-    within = seen.join(grouped, "line").select("component", "doc_id", "row_key", "line_no")
-    within = common.stage(within, "repeats")
-    # written once, so that both sides of the join are dealt anew and a hot group can be split
-    keep = common.stage(within.groupBy("component").agg(first.alias("keep")), "keep")
+    with common.staging() as tables:
+        seen = common.stage(lines_of(docs), "lines")
+        # a common line is folded where it is read, with the place that its text is taken from
+        different = seen.groupBy("line").agg(F.first("fp").alias("fp"), F.first("length").alias("length"), F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "line_no")).alias("at"))
+        different = common.stage(different, "different")
+        found = line_components(different, docs)
+        grouped = different.select("line", "n").join(found.withColumnRenamed("node", "line"), "line", "left")
+        # single lines are groups of their own and need no decision
+        grouped = common.stage(grouped.filter("n > 1 or component is not null").select("line", F.coalesce("component", "line").alias("component")), "groups")
+        within = seen.join(grouped, "line").select("component", "doc_id", "row_key", "line_no")
+        within = common.stage(within, "repeats")
+        # written once, so that both sides of the join are dealt anew and a hot group can be split
+        keep = common.stage(within.groupBy("component").agg(first.alias("keep")), "keep")
+        tables.keep(within, keep)
     lost = within.join(keep, "component").filter(F.struct("doc_id", "row_key", "line_no") != F.col("keep"))
     return lost.groupBy("row_key").agg(F.collect_set("line_no").alias("dropped"))
 
@@ -349,7 +352,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     lost = dropped_lines(docs).toDF("__key", "__lost")
     both = docs.withColumn("__key", common.row_key("doc_id", "text")).join(lost, "__key", "left")
-    kept = F.expr("concat_ws('\\n', filter(split(text, '\\n', -1), (line, i) -> not array_contains(__lost, i)))")
+    # linear in the lines: the numbers that stay by a hashed difference, then one look-up each
+    both = both.withColumn("__lines", F.when(F.col("__lost").isNotNull(), F.split("text", "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))
+    kept = F.concat_ws("\n", F.transform(stay, lambda i: F.get("__lines", i)))
     clean = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(kept)
     return both.withColumn("text", clean).select(*[F.col(f"`{c}`") for c in columns])
 
