@@ -29,11 +29,11 @@ WINDOW = 2048
 ROUND = 512
 END = 1
 #: Distinct words whose ids a worker remembers in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: New words that are encoded at once.
 JOINED = 50_000
 #: Bytes of text split at once: the more, the fewer look-ups of the same word.
-SPLIT_BYTES = 12_000_000
+SPLIT_BYTES = 6_000_000
 #: Rows of (partition, source) starts that are broadcast at most; beyond, they are joined.
 BROADCAST_ROWS = 200_000
 
@@ -139,7 +139,8 @@ class WordIds:
         lengths, own = np.r_[lengths, sizes], np.concatenate([own, *opening])
         many = lengths[which]
         ends = np.cumsum(many)
-        ids = own[np.repeat(starts[which] - (ends - many), many) + np.arange(ends[-1])].tobytes()
+        shift = (starts[which] - (ends - many)).astype(np.int32)  # a batch has far fewer than 2**31 ids
+        ids = own[np.repeat(shift, many) + np.arange(ends[-1], dtype=np.int32)].tobytes()
         cuts = (np.r_[0, ends][bounds] * self.kind.itemsize).tolist()
         for i, lo, hi in zip(fast, cuts, cuts[1:]):
             out[i] = ids[lo:hi]
