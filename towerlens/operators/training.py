@@ -6,6 +6,7 @@ import json
 import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from math import gcd
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
@@ -24,6 +25,9 @@ FEATURES = "features"
 WEIGHT = "weight"
 LABEL = "label"
 FOLD = "fold"
+# Ten primes below 2**32, and a step between permutations.
+FACTORS = [4294967291, 4294967279, 4294967231, 4294967197, 4294967189, 4294967161, 4294967143, 4294967111, 4294967087, 4294967029]
+STEP = 7_919
 # Features of the six-column scoring helpers.
 HELPER_FEATURES = (
     "total_alarms_6h", "critical_alarms_6h", "major_alarms_6h",
@@ -219,41 +223,42 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean drop in average precision when one feature is permuted.
 
-    Rows are numbered once in hash order; a permutation is the shifted and scaled number
-    modulo the row count, so permuting is one equi-join per feature and repeat.
+    Rows are numbered once in hash order; permutation ``k`` gives row ``(a * FACTORS[k mod 10]
+    + (k + 1) * STEP) mod n`` the value of row ``a``. The values of all permutations travel
+    to their rows in one shuffle, each row is then written out once per permutation and
+    scored where it is, and the curves are folded per permutation: the number of jobs does
+    not grow with features or repeats.
     """
+    features = list(features)
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in row_key])
     mixed = df.withColumn("_mix", F.md5(F.concat(key, F.lit(f"|{seed}"))))
-    numbered = session.cut_lineage(slices.global_index(mixed, ("_mix", *row_key), "_at").drop("_mix"))
+    numbered = session.staged(slices.global_index(mixed, ("_mix", *row_key), "_at").drop("_mix"), "numbered")
     rows = numbered.count()
-    chooser = random.Random(seed)
-
-    def precision(frame: DataFrame) -> Column:
-        scored = score(frame).select(probability, F.col(label).cast("int").alias("_y"))
-        return curves.areas(curves.curve_points(scored, probability, "_y")).select("average_precision")
-
-    base = precision(numbered).first()[0]
-    drops = []
-    for feature in features:
+    if not rows or not features:
+        return df.sparkSession.createDataFrame([], "feature string, importance double")
+    wide = "decimal(38,0)"
+    sent = []
+    for i, feature in enumerate(features):
         for repeat in range(repeats):
-            factor = _coprime(chooser, rows)
-            shift = chooser.randrange(rows) if rows else 0
-            moved = numbered.select(
-                F.pmod(F.col("_at").cast("decimal(20,0)") * F.lit(factor).cast("decimal(18,0)") + F.lit(shift).cast("decimal(18,0)"), F.lit(rows).cast("decimal(18,0)")).cast("bigint").alias("_at"), F.col(feature).alias("_moved"))
-            shuffled = numbered.join(moved, "_at").withColumn(feature, F.col("_moved")).drop("_moved")
-            drops.append((feature, repeat, float(base - precision(shuffled).first()[0])))
-    table = df.sparkSession.createDataFrame(drops, "feature string, repeat int, drop double")
-    return table.groupBy("feature").agg(F.avg("drop").alias("importance")).orderBy(F.desc("importance"), "feature")
-
-
-def _coprime(chooser: random.Random, rows: int) -> int:
-    from math import gcd
-    if rows < 3:
-        return 1
-    while True:
-        factor = chooser.randrange(1, rows)
-        if gcd(factor, rows) == 1:
-            return factor
+            k = i * repeats + repeat
+            factor = next(f for f in FACTORS[k % len(FACTORS):] + FACTORS if gcd(f, rows) == 1)
+            place = F.pmod(F.col("_at").cast("decimal(19,0)") * F.lit(factor % rows).cast("decimal(18,0)") + F.lit((k + 1) * STEP % rows).cast(wide), F.lit(rows).cast(wide))
+            sent.append(F.struct(place.cast("bigint").alias("_at"), F.lit(k).alias("k"), F.col(feature).cast("double").alias("value")))
+    moved = numbered.select(F.explode(F.array(*sent)).alias("_s")).select("_s.*")
+    # one value of every permutation: an array of fixed length per row
+    arrays = moved.groupBy("_at").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("_moved"))
+    copies = numbered.join(arrays, "_at").withColumn("_k", F.explode(F.sequence(F.lit(-1), F.lit(len(features) * repeats - 1))))
+    types = dict(df.dtypes)
+    permuted = copies.withColumns({
+        f: F.when(F.floor(F.col("_k") / repeats) == i, F.get("_moved", F.col("_k")).cast(types[f])).otherwise(F.col(f))
+        for i, f in enumerate(features)})
+    scored = score(permuted.drop("_moved")).select("_k", probability, F.col(label).cast("int").alias("_y"))
+    found = session.staged(curves.areas(curves.curve_points(scored, probability, "_y", ("_k",)), ("_k",)), "areas")
+    base = found.where("_k = -1").select("average_precision").scalar()
+    names = F.array(*[F.lit(f) for f in features])
+    drops = found.where("_k >= 0").select(
+        F.get(names, F.floor(F.col("_k") / repeats).cast("int")).alias("feature"), (base - F.col("average_precision")).alias("drop"))
+    return drops.groupBy("feature").agg(F.avg("drop").alias("importance")).orderBy(F.desc("importance"), "feature")
 
 
 def loss_history(model: GBTClassificationModel, parts: dict[str, DataFrame]) -> DataFrame:
