@@ -272,6 +272,27 @@ def test_stream_keeps_late_rows_and_drops_repeats(spark, tmp_path):
     assert spark.read.parquet(paths[0]).count() == 4
 
 
+def test_windowed_counts_close_by_the_watermark_and_go_on_after_a_restart(spark, tmp_path):
+    drop, names = tmp_path / "drop", [f.name for f in RAW_SCHEMA.fields]
+    drop.mkdir()
+
+    def write(file, times):
+        rows = [{"occurred_on": t, "log_serial_number": i, "alarm_name": "RF Fault", "alarm_source": "ZBIY43_x", "severity": "Major"} for i, t in enumerate(times)]
+        (drop / file).write_text("\n".join([",".join(names), *(",".join(str(r.get(n, "")) for n in names) for r in rows)]) + "\n")
+
+    def counts():
+        stream = ingest.open_folder(spark, str(drop), RAW_SCHEMA)
+        ingest.start_windowed(stream, str(tmp_path / "counts"), str(tmp_path / "checkpoint")).awaitTermination()
+        return {r["bucket_start"].isoformat(): r["alarms"] for r in spark.read.parquet(str(tmp_path / "counts")).collect()}
+
+    write("1.csv", ["2024-01-01 10:00:05", "2024-01-01 10:00:45", "2024-01-01 11:59:00", "2024-01-01 15:00:00"])
+    assert counts() == {"2024-01-01T10:00:00": 2}  # one minute twice; 14:00 is still open
+    # a repeat and a late row of the open window count, a row behind the watermark does not
+    write("2.csv", ["2024-01-01 15:00:30", "2024-01-01 14:10:00", "2024-01-01 10:30:00", "2024-01-01 20:30:00"])
+    assert counts() == {"2024-01-01T10:00:00": 2, "2024-01-01T14:00:00": 2}
+    assert counts() == {"2024-01-01T10:00:00": 2, "2024-01-01T14:00:00": 2}
+
+
 def test_column_operators(spark):
     df = spark.createDataFrame([("a", None, 1, 5), ("b", None, 1, None)], "x string, y string, c int, n int")
     assert columns.drop_mostly_missing(df, 0.95, keep=()).columns == ["x", "c", "n"]

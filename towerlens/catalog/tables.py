@@ -288,18 +288,32 @@ _STREAMED = (
 )
 
 
-@register("l1_incremental_ingest", with_alarms(
-    "SELECT entity, time_bucket(INTERVAL 2 HOUR, event_time, TIMESTAMP '1970-01-01') AS bucket_start, count(*) AS alarms FROM kept GROUP BY ALL", _STREAMED))
-def l1(spark, sf_dir):
+def _drop_folder(spark, sf_dir):
+    """A folder in which every row arrives, and a tenth a second time in later files."""
     from towerlens.schema import RAW_SCHEMA
     drop = session.scratch(spark, "drop")
     rows = exported(spark, sf_dir).withColumnRenamed("name", "alarm_name")
     known = [f.name for f in RAW_SCHEMA.fields]
-    # every row arrives, and a tenth arrives a second time in later files
     full = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in known])
     files.write_csv(full, f"{drop}/first")
     files.write_csv(full.where(F.col("log_serial_number").cast("bigint") % 10 == 0), f"{drop}/second")
-    stream = ingest.open_folder(spark, f"{drop}/*", RAW_SCHEMA)
+    return ingest.open_folder(spark, f"{drop}/*", RAW_SCHEMA)
+
+
+@register("l1_windowed_counts", with_alarms(
+    "SELECT * FROM (SELECT entity, time_bucket(INTERVAL 2 HOUR, event_time, TIMESTAMP '1970-01-01') AS bucket_start, count(*) AS alarms FROM kept GROUP BY ALL) "
+    "WHERE bucket_start <= (SELECT max(event_time) FROM kept) - INTERVAL 4 HOUR", _STREAMED))
+def l1_windowed(spark, sf_dir):
+    """Windows that the watermark has closed, counted in the state store."""
+    base = session.scratch(spark, "windows")
+    ingest.start_windowed(_drop_folder(spark, sf_dir), f"{base}/counts", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/counts").withColumn("bucket_start", naive("bucket_start"))
+
+
+@register("l1_incremental_ingest", with_alarms(
+    "SELECT entity, time_bucket(INTERVAL 2 HOUR, event_time, TIMESTAMP '1970-01-01') AS bucket_start, count(*) AS alarms FROM kept GROUP BY ALL", _STREAMED))
+def l1(spark, sf_dir):
+    stream = _drop_folder(spark, sf_dir)
     base = session.scratch(spark, "ingest")
     ingest.start(stream, f"{base}/history", f"{base}/counts", f"{base}/checkpoint").awaitTermination()
     return ingest.bucket_counts(spark, f"{base}/counts").withColumn("bucket_start", naive("bucket_start"))

@@ -3,11 +3,14 @@
 Each micro-batch is cleaned, reduced to the first alarm per key and minute, and joined
 against the history of the dates it touches, so a late or repeated row is neither lost nor
 doubled: there is no watermark behind which rows vanish. Bucket counts are written as
-increments and summed on read.
+increments and summed on read. A second, live view counts in the state store instead and
+closes its windows by a watermark.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -48,15 +51,13 @@ def store_batch(batch: DataFrame, batch_id: int, history: str, counts: str) -> N
     spark = batch.sparkSession
     rows = session.cut_lineage(prepare(batch))
     if session.path_exists(spark, history):
-        dates = [r[0] for r in rows.select(PARTITION).distinct().limit(10_000).collect()]
-        earlier = _committed(spark.read.parquet(history), batch_id)
-        if len(dates) < 10_000:
-            earlier = earlier.where(F.col(PARTITION).isin(dates))
+        # the dates of the batch, no more than a calendar has, prune the folders that are read
+        dates = rows.where(F.col(PARTITION) >= F.lit(date.min)).select(PARTITION).distinct()
+        earlier = _committed(spark.read.parquet(history), batch_id).join(F.broadcast(dates), PARTITION, "left_semi")
         rows = rows.join(earlier.select(*KEY), KEY, "left_anti")
     fresh = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    spread = F.pmod(F.xxhash64(*KEY), F.lit(4))
     (
-        fresh.repartition(PARTITION, spread).write.mode("overwrite")
+        fresh.hint("rebalance", PARTITION).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", PARTITION).parquet(history)
     )
     written = spark.read.parquet(history).where(F.col("batch_id") == batch_id)
@@ -83,10 +84,26 @@ def bucket_counts(spark: SparkSession, counts: str) -> DataFrame:
 
 
 def windowed_counts(stream: DataFrame, lateness: str = "2 hours") -> DataFrame:
-    """Live view: counts per two-hour window within the lateness bound, state kept small."""
+    """Live view of cleaned alarms: counts per two-hour window, each minute's repeats once.
+
+    Windows close once the watermark has passed them; their state and the keys seen are
+    dropped then, so state stays small. Rows later than ``lateness`` are left out here, while
+    the history still takes them.
+    """
+    keyed = stream.withColumn("event_minute", F.date_trunc("minute", "event_time")).withWatermark("event_time", lateness)
     return (
-        stream.withWatermark("event_time", lateness)
+        keyed.dropDuplicatesWithinWatermark(KEY)
         .groupBy(F.window("event_time", f"{timeparts.STEP_HOURS} hours"), "entity")
         .agg(F.count(F.lit(1)).alias("alarms"))
         .select("entity", F.col("window.start").alias("bucket_start"), "alarms")
     )
+
+
+def start_windowed(stream: DataFrame, out: str, checkpoint: str, lateness: str = "2 hours") -> StreamingQuery:
+    """Append the closed windows of everything present in the folder, then stop; a later run
+    goes on from the same state."""
+    cleaned = clean.with_entity(clean.clean_alarms(stream, dedupe=False))
+    return (
+        windowed_counts(cleaned, lateness).writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+    )
