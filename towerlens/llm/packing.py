@@ -11,6 +11,7 @@ which need no padding.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Mapping
@@ -33,7 +34,7 @@ REMEMBERED = 80_000
 #: New words that are encoded at once.
 JOINED = 50_000
 #: Bytes of text split at once: the more, the fewer look-ups of the same word.
-SPLIT_BYTES = 3_000_000
+SPLIT_BYTES = 5_000_000
 #: Rows of (partition, source) starts that are broadcast at most; beyond, they are joined.
 BROADCAST_ROWS = 200_000
 
@@ -48,6 +49,8 @@ class WordIds:
     fall back to their words by running sums."""
 
     def __init__(self, path: str, width: int = 2):
+        # Spark's tasks are the parallelism; threads of a worker's own cost more than they give
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -327,7 +330,6 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: Mapping[str, float] | No
             yield pa.RecordBatch.from_arrays(
                 [common.column(batch, "doc_id"), pa.array(queues, pa.string()), pa.array([pid] * len(ids), pa.int32()), pa.array(begins, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 ["doc_id", "queue", "pid", "begin", "n", "ids"])
-            pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"), F.col("text").cast("string").alias("text"))
     tokens = common.stage(own.mapInArrow(tokenize, "doc_id long, queue string, pid int, begin long, n long, ids binary"), "tokens")
