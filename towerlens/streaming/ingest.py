@@ -9,8 +9,6 @@ closes its windows by a watermark.
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -52,7 +50,7 @@ def store_batch(batch: DataFrame, batch_id: int, history: str, counts: str) -> N
     rows = session.cut_lineage(prepare(batch))
     if session.path_exists(spark, history):
         # the dates of the batch, no more than a calendar has, prune the folders that are read
-        dates = rows.where(F.col(PARTITION) >= F.lit(date.min)).select(PARTITION).distinct()
+        dates = rows.where(F.col(PARTITION) >= F.lit("0001-01-01").cast("date")).select(PARTITION).distinct()
         earlier = _committed(spark.read.parquet(history), batch_id).join(F.broadcast(dates), PARTITION, "left_semi")
         rows = rows.join(earlier.select(*KEY), KEY, "left_anti")
     fresh = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
