@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from towerlens.catalog.base import alarms, integers, raw, rounded, table, with_towers, with_raw
+from towerlens.catalog.base import alarms, every_alarm, integers, raw, rounded, table, with_every_alarm, with_raw, with_towers
 from towerlens.catalog.registry import Area
 from towerlens.functions import text, timeparts
 from towerlens.operators import clean, encode, sequence, slices
@@ -22,10 +22,10 @@ _NAMES = (
 )
 
 
-def coded(spark, sf_dir) -> DataFrame:
+def coded(spark, sf_dir, read) -> DataFrame:
     """Alarms with the five encoded columns the lag features use."""
     names = F.array(*[F.lit(n) for n in _NAMES])
-    return alarms(spark, sf_dir).withColumns({
+    return read(spark, sf_dir).withColumns({
         "alarm_name_encoded": F.array_position(names, F.col("alarm_name")).cast("int") - 1,
         "severity_encoded": text.severity_rank(F.col("severity")),
         "alarm_source_encoded": (F.col("log_serial_number") % 4).cast("int"),
@@ -53,34 +53,38 @@ _W = "WINDOW w AS (PARTITION BY enodeb_id ORDER BY event_time, log_serial_number
 
 
 def sliced(df: DataFrame) -> slices.Sliced:
-    return slices.slice_groups(clean.towers(df, KEYS), KEYS, ORDER)
+    return slices.slice_groups(df, KEYS, ORDER)
 
 
-def lagged(spark, sf_dir) -> DataFrame:
-    return sequence.lag_features(sliced(coded(spark, sf_dir))).rows()
+def _towers(spark, sf_dir) -> DataFrame:
+    return clean.towers(alarms(spark, sf_dir), KEYS)
+
+
+def lagged(spark, sf_dir, read) -> DataFrame:
+    return sequence.lag_features(sliced(coded(spark, sf_dir, read))).rows()
 
 
 _LAG_NAMES = [f"{stem}_{i}" for stem in sequence.LAGGED.values() for i in range(1, 6)]
 
 
-@register("g1_lag_features", with_towers(
+@register("g1_lag_features", with_every_alarm(
     "SELECT log_serial_number, " + ", ".join(_LAG_NAMES) + " FROM lagged", CODED_SQL, LAGGED_SQL))
 def g1(spark, sf_dir):
-    return lagged(spark, sf_dir).select("log_serial_number", *_LAG_NAMES)
+    return lagged(spark, sf_dir, every_alarm).select("log_serial_number", *_LAG_NAMES)
 
 
 @register("g2_gap_minutes", with_towers(
     "SELECT log_serial_number, coalesce((us - lag(us) OVER w)::DOUBLE / 60000000::DOUBLE, 0) AS time_gap_previous_alarm "
     "FROM alarms " + _W))
 def g2(spark, sf_dir):
-    rows = sequence.gap_minutes(sliced(alarms(spark, sf_dir))).rows()
+    rows = sequence.gap_minutes(sliced(_towers(spark, sf_dir))).rows()
     return rows.select("log_serial_number", "time_gap_previous_alarm")
 
 
 @register("g3_position", with_towers(
     "SELECT log_serial_number, row_number() OVER w - 1 AS sequence_length FROM alarms " + _W))
 def g3(spark, sf_dir):
-    return sequence.position(sliced(alarms(spark, sf_dir))).rows().select(
+    return sequence.position(sliced(_towers(spark, sf_dir))).rows().select(
         "log_serial_number", *integers("sequence_length"))
 
 
@@ -88,7 +92,7 @@ def g3(spark, sf_dir):
     "SELECT log_serial_number, row_number() OVER (PARTITION BY enodeb_id, alarm_name ORDER BY event_time, "
     "log_serial_number) - 1 AS alarm_repeat_count FROM alarms"))
 def g4(spark, sf_dir):
-    return sequence.repeat_count(sliced(alarms(spark, sf_dir))).rows().select(
+    return sequence.repeat_count(sliced(_towers(spark, sf_dir))).rows().select(
         "log_serial_number", *integers("alarm_repeat_count"))
 
 
@@ -96,7 +100,7 @@ def g4(spark, sf_dir):
     "SELECT log_serial_number, coalesce(sum(is_cell_unavailable) OVER (PARTITION BY enodeb_id ORDER BY event_time, "
     "log_serial_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS previous_cell_unavailable_count FROM alarms"))
 def g5(spark, sf_dir):
-    return sequence.outages_before(sliced(alarms(spark, sf_dir))).rows().select(
+    return sequence.outages_before(sliced(_towers(spark, sf_dir))).rows().select(
         "log_serial_number", *integers("previous_cell_unavailable_count"))
 
 
@@ -108,7 +112,7 @@ _TARGET = (
 
 @register("g6_future_outage", with_towers(f"SELECT log_serial_number, {_TARGET} FROM alarms"))
 def g6(spark, sf_dir):
-    return sequence.future_outage(sliced(alarms(spark, sf_dir))).rows().select("log_serial_number", "target")
+    return sequence.future_outage(sliced(_towers(spark, sf_dir))).rows().select("log_serial_number", "target")
 
 
 @register("g6_future_outage_literal", with_towers(
@@ -116,7 +120,7 @@ def g6(spark, sf_dir):
     "max(is_cell_unavailable) OVER (PARTITION BY enodeb_id ORDER BY event_time, log_serial_number "
     "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM alarms) " + _W))
 def g6_literal(spark, sf_dir):
-    return sequence.future_outage(sliced(alarms(spark, sf_dir)), mode="literal").rows().select(
+    return sequence.future_outage(sliced(_towers(spark, sf_dir)), mode="literal").rows().select(
         "log_serial_number", "target")
 
 
@@ -132,7 +136,7 @@ _FEATURES = [
     "(sum(is_cell_unavailable) OVER w - is_cell_unavailable)::BIGINT AS previous_cell_unavailable_count, "
     f"{_TARGET} FROM lagged {_W}", CODED_SQL, LAGGED_SQL))
 def all_features(spark, sf_dir):
-    rows = sequence.sequence_features(coded(spark, sf_dir), KEYS, ORDER)
+    rows = sequence.sequence_features(coded(spark, sf_dir, _towers), KEYS, ORDER)
     return rows.select("log_serial_number", *_FEATURES, "time_gap_previous_alarm")
 
 
@@ -141,7 +145,7 @@ def all_features(spark, sf_dir):
     "SELECT us - lag(us) OVER (PARTITION BY enodeb_id ORDER BY event_time, log_serial_number) AS gap "
     "FROM alarms WHERE is_cell_unavailable = 1)"))
 def g11(spark, sf_dir):
-    return sequence.outage_spacing(alarms(spark, sf_dir), KEYS, ORDER, flag="is_cell_unavailable")
+    return sequence.outage_spacing(_towers(spark, sf_dir), KEYS, ORDER, flag="is_cell_unavailable")
 
 
 def _streak_sql(stem: str) -> str:
@@ -156,7 +160,7 @@ def _streak_sql(stem: str) -> str:
     f"SELECT log_serial_number, {_streak_sql('previous_alarm_type')} AS consecutive_alarm_streak, "
     f"{_streak_sql('previous_alarm_source')} AS consecutive_source_streak FROM lagged", CODED_SQL, LAGGED_SQL))
 def g14(spark, sf_dir):
-    return lagged(spark, sf_dir).select(
+    return lagged(spark, sf_dir, _towers).select(
         "log_serial_number", sequence.streak("previous_alarm_type").alias("consecutive_alarm_streak"),
         sequence.streak("previous_alarm_source").alias("consecutive_source_streak"))
 
@@ -168,7 +172,7 @@ _SOURCES = ", ".join(f"previous_alarm_source_{i}" for i in range(1, 6))
     f"SELECT log_serial_number, len(list_distinct([{_SOURCES}]))::INT AS unique_alarm_sources_5step FROM lagged",
     CODED_SQL, LAGGED_SQL))
 def g15(spark, sf_dir):
-    return lagged(spark, sf_dir).select(
+    return lagged(spark, sf_dir, _towers).select(
         "log_serial_number", sequence.distinct_recent("previous_alarm_source").alias("unique_alarm_sources_5step"))
 
 
@@ -182,7 +186,7 @@ def _matches(weight: str) -> str:
     CODED_SQL, LAGGED_SQL))
 def g16(spark, sf_dir):
     ratio = sequence.repeat_ratio(F.col("alarm_type_encoded"), "previous_alarm_type")
-    return lagged(spark, sf_dir).select("log_serial_number", F.round(ratio, 6).alias("alarm_repeat_ratio_5step"))
+    return lagged(spark, sf_dir, _towers).select("log_serial_number", F.round(ratio, 6).alias("alarm_repeat_ratio_5step"))
 
 
 @register("g17_weighted_repeats", with_towers(
@@ -190,7 +194,7 @@ def g16(spark, sf_dir):
     CODED_SQL, LAGGED_SQL))
 def g17(spark, sf_dir):
     score = sequence.weighted_repeats(F.col("alarm_type_encoded"), "previous_alarm_type")
-    return lagged(spark, sf_dir).select("log_serial_number", F.round(score, 6).alias("weighted_alarm_repeat_score"))
+    return lagged(spark, sf_dir, _towers).select("log_serial_number", F.round(score, 6).alias("weighted_alarm_repeat_score"))
 
 
 @register("g17_last_repeat", with_towers(
@@ -198,7 +202,7 @@ def g17(spark, sf_dir):
     CODED_SQL, LAGGED_SQL))
 def g17_last(spark, sf_dir):
     score = sequence.weighted_repeats(F.col("alarm_type_encoded"), "previous_alarm_type", depth=1)
-    return lagged(spark, sf_dir).select("log_serial_number", score.alias("weighted_alarm_repeat_score"))
+    return lagged(spark, sf_dir, _towers).select("log_serial_number", score.alias("weighted_alarm_repeat_score"))
 
 
 @register("g18_transition_frequency", with_towers(
@@ -207,7 +211,7 @@ def g17_last(spark, sf_dir):
     "FROM lagged", CODED_SQL, LAGGED_SQL))
 def g18(spark, sf_dir):
     pair = text.joined([F.col("previous_alarm_type_1"), F.col("alarm_type_encoded")], "->")
-    rows = lagged(spark, sf_dir).select("log_serial_number", pair.alias("pair"))
+    rows = lagged(spark, sf_dir, _towers).select("log_serial_number", pair.alias("pair"))
     shared = sequence.with_share_of_rows(rows, F.col("pair"), "transition_pair_frequency")
     return shared.select("log_serial_number", "pair", *rounded("transition_pair_frequency"))
 
@@ -221,7 +225,7 @@ def g18(spark, sf_dir):
     "round(count(*) OVER (PARTITION BY previous_alarm_type_1, alarm_type_encoded) / (count(*) OVER ())::DOUBLE, 6) AS transition_pair_frequency "
     "FROM lagged", CODED_SQL, LAGGED_SQL))
 def shapes(spark, sf_dir):
-    rows = sequence.lag_shape_features(lagged(spark, sf_dir))
+    rows = sequence.lag_shape_features(lagged(spark, sf_dir, _towers))
     return rows.select(
         "log_serial_number", "consecutive_alarm_streak", "consecutive_source_streak", "unique_alarm_sources_5step",
         *rounded("alarm_repeat_ratio_5step", "weighted_alarm_repeat_score", "transition_pair_frequency"))
@@ -238,7 +242,7 @@ def _before_sql(length: int) -> str:
 
 def _before(length: int):
     def query(spark, sf_dir):
-        parts = sequence.lag_features(sliced(coded(spark, sf_dir)), {"alarm_name_encoded": "previous_alarm"})
+        parts = sequence.lag_features(sliced(coded(spark, sf_dir, _towers)), {"alarm_name_encoded": "previous_alarm"})
         rows = sequence.future_outage(parts).rows()
         return sequence.sequences_before_outage(rows, length).withColumn("length", F.lit(length))
     return query
