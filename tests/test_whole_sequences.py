@@ -11,6 +11,7 @@ from check import compare
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 WHOLE = [
     "g1_lag_features",
+    "g2_gap_minutes",
 ]
 #: One row for all alarms.
 FOLDED = ("g11_outage_spacing",)

@@ -73,11 +73,11 @@ def g1(spark, sf_dir):
     return lagged(spark, sf_dir, every_alarm).select("log_serial_number", *_LAG_NAMES)
 
 
-@register("g2_gap_minutes", with_towers(
+@register("g2_gap_minutes", with_every_alarm(
     "SELECT log_serial_number, coalesce((us - lag(us) OVER w)::DOUBLE / 60000000::DOUBLE, 0) AS time_gap_previous_alarm "
     "FROM alarms " + _W))
 def g2(spark, sf_dir):
-    rows = sequence.gap_minutes(sliced(_towers(spark, sf_dir))).rows()
+    rows = sequence.gap_minutes(sliced(every_alarm(spark, sf_dir))).rows()
     return rows.select("log_serial_number", "time_gap_previous_alarm")
 
 
