@@ -12,6 +12,7 @@ QUERIES, SQL = contract.queries(), contract.oracle_sql()
 WHOLE = [
     "g1_lag_features",
     "g2_gap_minutes",
+    "g3_position",
 ]
 #: One row for all alarms.
 FOLDED = ("g11_outage_spacing",)

@@ -81,10 +81,10 @@ def g2(spark, sf_dir):
     return rows.select("log_serial_number", "time_gap_previous_alarm")
 
 
-@register("g3_position", with_towers(
+@register("g3_position", with_every_alarm(
     "SELECT log_serial_number, row_number() OVER w - 1 AS sequence_length FROM alarms " + _W))
 def g3(spark, sf_dir):
-    return sequence.position(sliced(_towers(spark, sf_dir))).rows().select(
+    return sequence.position(sliced(every_alarm(spark, sf_dir))).rows().select(
         "log_serial_number", *integers("sequence_length"))
 
 
