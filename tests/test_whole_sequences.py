@@ -13,6 +13,7 @@ WHOLE = [
     "g1_lag_features",
     "g2_gap_minutes",
     "g3_position",
+    "g4_repeat_count",
 ]
 #: One row for all alarms.
 FOLDED = ("g11_outage_spacing",)

@@ -88,11 +88,11 @@ def g3(spark, sf_dir):
         "log_serial_number", *integers("sequence_length"))
 
 
-@register("g4_repeat_count", with_towers(
+@register("g4_repeat_count", with_every_alarm(
     "SELECT log_serial_number, row_number() OVER (PARTITION BY enodeb_id, alarm_name ORDER BY event_time, "
     "log_serial_number) - 1 AS alarm_repeat_count FROM alarms"))
 def g4(spark, sf_dir):
-    return sequence.repeat_count(sliced(_towers(spark, sf_dir))).rows().select(
+    return sequence.repeat_count(sliced(every_alarm(spark, sf_dir))).rows().select(
         "log_serial_number", *integers("alarm_repeat_count"))
 
 
