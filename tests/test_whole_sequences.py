@@ -14,6 +14,7 @@ WHOLE = [
     "g2_gap_minutes",
     "g3_position",
     "g4_repeat_count",
+    "g5_outages_before",
 ]
 #: One row for all alarms.
 FOLDED = ("g11_outage_spacing",)

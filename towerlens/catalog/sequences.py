@@ -96,11 +96,11 @@ def g4(spark, sf_dir):
         "log_serial_number", *integers("alarm_repeat_count"))
 
 
-@register("g5_outages_before", with_towers(
+@register("g5_outages_before", with_every_alarm(
     "SELECT log_serial_number, coalesce(sum(is_cell_unavailable) OVER (PARTITION BY enodeb_id ORDER BY event_time, "
     "log_serial_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS previous_cell_unavailable_count FROM alarms"))
 def g5(spark, sf_dir):
-    return sequence.outages_before(sliced(_towers(spark, sf_dir))).rows().select(
+    return sequence.outages_before(sliced(every_alarm(spark, sf_dir))).rows().select(
         "log_serial_number", *integers("previous_cell_unavailable_count"))
 
 
