@@ -15,6 +15,7 @@ WHOLE = [
     "g3_position",
     "g4_repeat_count",
     "g5_outages_before",
+    "g6_future_outage",
 ]
 #: One row for all alarms.
 FOLDED = ("g11_outage_spacing",)

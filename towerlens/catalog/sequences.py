@@ -110,9 +110,9 @@ _TARGET = (
 )
 
 
-@register("g6_future_outage", with_towers(f"SELECT log_serial_number, {_TARGET} FROM alarms"))
+@register("g6_future_outage", with_every_alarm(f"SELECT log_serial_number, {_TARGET} FROM alarms"))
 def g6(spark, sf_dir):
-    return sequence.future_outage(sliced(_towers(spark, sf_dir))).rows().select("log_serial_number", "target")
+    return sequence.future_outage(sliced(every_alarm(spark, sf_dir))).rows().select("log_serial_number", "target")
 
 
 @register("g6_future_outage_literal", with_towers(
