@@ -16,6 +16,7 @@ WHOLE = [
     "g4_repeat_count",
     "g5_outages_before",
     "g6_future_outage",
+    "g6_future_outage_literal",
 ]
 #: One row for all alarms.
 FOLDED = ("g11_outage_spacing",)

@@ -115,12 +115,12 @@ def g6(spark, sf_dir):
     return sequence.future_outage(sliced(every_alarm(spark, sf_dir))).rows().select("log_serial_number", "target")
 
 
-@register("g6_future_outage_literal", with_towers(
+@register("g6_future_outage_literal", with_every_alarm(
     "SELECT log_serial_number, coalesce(lag(m) OVER w, 0)::INT AS target FROM (SELECT *, "
     "max(is_cell_unavailable) OVER (PARTITION BY enodeb_id ORDER BY event_time, log_serial_number "
     "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM alarms) " + _W))
 def g6_literal(spark, sf_dir):
-    return sequence.future_outage(sliced(_towers(spark, sf_dir)), mode="literal").rows().select(
+    return sequence.future_outage(sliced(every_alarm(spark, sf_dir)), mode="literal").rows().select(
         "log_serial_number", "target")
 
 
