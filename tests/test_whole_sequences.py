@@ -17,6 +17,7 @@ WHOLE = [
     "g5_outages_before",
     "g6_future_outage",
     "g6_future_outage_literal",
+    "sequence_features",
 ]
 #: One row for all alarms.
 FOLDED = ("g11_outage_spacing",)

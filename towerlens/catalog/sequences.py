@@ -129,14 +129,14 @@ _FEATURES = [
 ]
 
 
-@register("sequence_features", with_towers(
+@register("sequence_features", with_every_alarm(
     "SELECT log_serial_number, " + ", ".join(_LAG_NAMES) + ", coalesce((us - lag(us) OVER w)::DOUBLE / 60000000::DOUBLE, 0) AS time_gap_previous_alarm, "
     "row_number() OVER w - 1 AS sequence_length, "
     "row_number() OVER (PARTITION BY enodeb_id, alarm_name ORDER BY event_time, log_serial_number) - 1 AS alarm_repeat_count, "
     "(sum(is_cell_unavailable) OVER w - is_cell_unavailable)::BIGINT AS previous_cell_unavailable_count, "
     f"{_TARGET} FROM lagged {_W}", CODED_SQL, LAGGED_SQL))
 def all_features(spark, sf_dir):
-    rows = sequence.sequence_features(coded(spark, sf_dir, _towers), KEYS, ORDER)
+    rows = sequence.sequence_features(coded(spark, sf_dir, every_alarm), KEYS, ORDER)
     return rows.select("log_serial_number", *_FEATURES, "time_gap_previous_alarm")
 
 
