@@ -18,6 +18,7 @@ WHOLE = [
     "g6_future_outage",
     "g6_future_outage_literal",
     "sequence_features",
+    "g11_outage_spacing",
 ]
 #: One row for all alarms.
 FOLDED = ("g11_outage_spacing",)

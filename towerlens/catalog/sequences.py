@@ -140,12 +140,12 @@ def all_features(spark, sf_dir):
     return rows.select("log_serial_number", *_FEATURES, "time_gap_previous_alarm")
 
 
-@register("g11_outage_spacing", with_towers(
+@register("g11_outage_spacing", with_every_alarm(
     "SELECT count(*) AS outage_rows, count(*) FILTER (WHERE gap < 300000000) AS short_gaps FROM ("
     "SELECT us - lag(us) OVER (PARTITION BY enodeb_id ORDER BY event_time, log_serial_number) AS gap "
     "FROM alarms WHERE is_cell_unavailable = 1)"))
 def g11(spark, sf_dir):
-    return sequence.outage_spacing(_towers(spark, sf_dir), KEYS, ORDER, flag="is_cell_unavailable")
+    return sequence.outage_spacing(every_alarm(spark, sf_dir), KEYS, ORDER, flag="is_cell_unavailable")
 
 
 def _streak_sql(stem: str) -> str:
