@@ -19,6 +19,7 @@ WHOLE = [
     "g6_future_outage_literal",
     "sequence_features",
     "g11_outage_spacing",
+    "g14_streaks",
 ]
 #: One row for all alarms.
 FOLDED = ("g11_outage_spacing",)

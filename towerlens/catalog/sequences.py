@@ -156,11 +156,11 @@ def _streak_sql(stem: str) -> str:
     return " + ".join(parts)
 
 
-@register("g14_streaks", with_towers(
+@register("g14_streaks", with_every_alarm(
     f"SELECT log_serial_number, {_streak_sql('previous_alarm_type')} AS consecutive_alarm_streak, "
     f"{_streak_sql('previous_alarm_source')} AS consecutive_source_streak FROM lagged", CODED_SQL, LAGGED_SQL))
 def g14(spark, sf_dir):
-    return lagged(spark, sf_dir, _towers).select(
+    return lagged(spark, sf_dir, every_alarm).select(
         "log_serial_number", sequence.streak("previous_alarm_type").alias("consecutive_alarm_streak"),
         sequence.streak("previous_alarm_source").alias("consecutive_source_streak"))
 
