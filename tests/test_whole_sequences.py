@@ -20,6 +20,7 @@ WHOLE = [
     "sequence_features",
     "g11_outage_spacing",
     "g14_streaks",
+    "g15_distinct_sources",
 ]
 #: One row for all alarms.
 FOLDED = ("g11_outage_spacing",)

@@ -168,11 +168,11 @@ def g14(spark, sf_dir):
 _SOURCES = ", ".join(f"previous_alarm_source_{i}" for i in range(1, 6))
 
 
-@register("g15_distinct_sources", with_towers(
+@register("g15_distinct_sources", with_every_alarm(
     f"SELECT log_serial_number, len(list_distinct([{_SOURCES}]))::INT AS unique_alarm_sources_5step FROM lagged",
     CODED_SQL, LAGGED_SQL))
 def g15(spark, sf_dir):
-    return lagged(spark, sf_dir, _towers).select(
+    return lagged(spark, sf_dir, every_alarm).select(
         "log_serial_number", sequence.distinct_recent("previous_alarm_source").alias("unique_alarm_sources_5step"))
 
 
