@@ -21,6 +21,7 @@ WHOLE = [
     "g11_outage_spacing",
     "g14_streaks",
     "g15_distinct_sources",
+    "g16_repeat_ratio",
 ]
 #: One row for all alarms.
 FOLDED = ("g11_outage_spacing",)

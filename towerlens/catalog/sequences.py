@@ -181,12 +181,12 @@ def _matches(weight: str) -> str:
         f"(alarm_type_encoded = previous_alarm_type_{i})::INT * {weight.format(i=i)}" for i in range(1, 6))
 
 
-@register("g16_repeat_ratio", with_towers(
+@register("g16_repeat_ratio", with_every_alarm(
     f"SELECT log_serial_number, round(({_matches('1')}) / 5.0, 6)::DOUBLE AS alarm_repeat_ratio_5step FROM lagged",
     CODED_SQL, LAGGED_SQL))
 def g16(spark, sf_dir):
     ratio = sequence.repeat_ratio(F.col("alarm_type_encoded"), "previous_alarm_type")
-    return lagged(spark, sf_dir, _towers).select("log_serial_number", F.round(ratio, 6).alias("alarm_repeat_ratio_5step"))
+    return lagged(spark, sf_dir, every_alarm).select("log_serial_number", F.round(ratio, 6).alias("alarm_repeat_ratio_5step"))
 
 
 @register("g17_weighted_repeats", with_towers(
