@@ -22,6 +22,7 @@ WHOLE = [
     "g14_streaks",
     "g15_distinct_sources",
     "g16_repeat_ratio",
+    "g17_weighted_repeats",
 ]
 #: One row for all alarms.
 FOLDED = ("g11_outage_spacing",)

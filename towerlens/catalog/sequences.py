@@ -189,12 +189,12 @@ def g16(spark, sf_dir):
     return lagged(spark, sf_dir, every_alarm).select("log_serial_number", F.round(ratio, 6).alias("alarm_repeat_ratio_5step"))
 
 
-@register("g17_weighted_repeats", with_towers(
+@register("g17_weighted_repeats", with_every_alarm(
     f"SELECT log_serial_number, round(({_matches('1.0::DOUBLE / {i}')}), 6)::DOUBLE AS weighted_alarm_repeat_score FROM lagged",
     CODED_SQL, LAGGED_SQL))
 def g17(spark, sf_dir):
     score = sequence.weighted_repeats(F.col("alarm_type_encoded"), "previous_alarm_type")
-    return lagged(spark, sf_dir, _towers).select("log_serial_number", F.round(score, 6).alias("weighted_alarm_repeat_score"))
+    return lagged(spark, sf_dir, every_alarm).select("log_serial_number", F.round(score, 6).alias("weighted_alarm_repeat_score"))
 
 
 @register("g17_last_repeat", with_towers(
