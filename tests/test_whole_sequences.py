@@ -23,6 +23,7 @@ WHOLE = [
     "g15_distinct_sources",
     "g16_repeat_ratio",
     "g17_weighted_repeats",
+    "g17_last_repeat",
 ]
 #: One row for all alarms.
 FOLDED = ("g11_outage_spacing",)

@@ -197,12 +197,12 @@ def g17(spark, sf_dir):
     return lagged(spark, sf_dir, every_alarm).select("log_serial_number", F.round(score, 6).alias("weighted_alarm_repeat_score"))
 
 
-@register("g17_last_repeat", with_towers(
+@register("g17_last_repeat", with_every_alarm(
     "SELECT log_serial_number, (alarm_type_encoded = previous_alarm_type_1)::INT::DOUBLE AS weighted_alarm_repeat_score FROM lagged",
     CODED_SQL, LAGGED_SQL))
 def g17_last(spark, sf_dir):
     score = sequence.weighted_repeats(F.col("alarm_type_encoded"), "previous_alarm_type", depth=1)
-    return lagged(spark, sf_dir, _towers).select("log_serial_number", score.alias("weighted_alarm_repeat_score"))
+    return lagged(spark, sf_dir, every_alarm).select("log_serial_number", score.alias("weighted_alarm_repeat_score"))
 
 
 @register("g18_transition_frequency", with_towers(
