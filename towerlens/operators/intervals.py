@@ -226,11 +226,7 @@ def minute_volume(
     counts = alarms.groupBy(*keys, minute.alias("m")).agg(F.count(F.lit(1)).alias("alarm_count"))
     window = Window.partitionBy(*keys).orderBy("m")
     if dense:
-        end = F.coalesce(F.lead("m").over(window) - 1, F.col("m"))
-        spread = counts.withColumn("_end", end).withColumn("_g", F.explode(F.sequence("m", "_end")))
-        counts = spread.select(
-            *keys, F.col("_g").alias("m"),
-            F.when(F.col("_g") == F.col("m"), F.col("alarm_count")).otherwise(0).alias("alarm_count"))
+        return _dense_volume(counts, keys, minutes)
     summed = counts.withColumn(
         "_cum", F.sum("alarm_count").over(window.rowsBetween(Window.unboundedPreceding, 0)))
     older = F.max("_cum").over(window.rangeBetween(Window.unboundedPreceding, -minutes))
@@ -242,6 +238,28 @@ def minute_volume(
     )
 
 
+def _dense_volume(counts: DataFrame, keys: Sequence[str], minutes: int) -> DataFrame:
+    """:func:`minute_volume` with the silent minutes.
+
+    A minute's alarms enter the last hour at it and leave it ``minutes`` later; between two
+    such changes nothing moves, so only changes are ordered and minutes are written out last.
+    """
+    last = F.max("m").over(Window.partitionBy(*keys))
+    enters = F.struct(F.col("m").alias("g"), F.col("alarm_count").alias("change"), F.col("alarm_count").alias("here"))
+    leaves = F.struct((F.col("m") + minutes).alias("g"), (-F.col("alarm_count")).alias("change"), F.lit(0).cast("bigint").alias("here"))
+    changes = counts.withColumn("_last", last).select(*keys, "_last", F.explode(F.array(enters, leaves)).alias("_c"))
+    changes = changes.where(F.col("_c.g") <= F.col("_last")).groupBy(*keys, F.col("_c.g").alias("g")).agg(
+        F.sum("_c.change").alias("change"), F.sum("_c.here").alias("here"))
+    window = Window.partitionBy(*keys).orderBy("g")
+    states = changes.select(
+        *keys, "g", "here", F.coalesce(F.lead("g").over(window) - 1, F.col("g")).alias("_end"),
+        F.sum("change").over(window.rowsBetween(Window.unboundedPreceding, 0)).alias("rolling_alarm_count"))
+    spread = states.withColumn("m", F.explode(F.sequence("g", "_end")))
+    return spread.select(
+        *keys, timeparts.from_micros(F.col("m") * F.lit(timeparts.MINUTE)).alias("minute"),
+        F.when(F.col("m") == F.col("g"), F.col("here")).otherwise(0).alias("alarm_count"), "rolling_alarm_count")
+
+
 def outages_with_volume(alarms: DataFrame, keys: Sequence[str] = ("enodeb_id",)) -> DataFrame:
     """Each outage with the rolling alarm volume of its minute."""
     alarms = clean.towers(alarms, keys)
