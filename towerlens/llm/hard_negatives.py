@@ -109,11 +109,12 @@ class Tree:
 
 def grow(sample: np.ndarray) -> Tree:
     """Tree over the distinct rows of ``sample``: split points of a node are taken one after
-    the other, each farthest from those before."""
+    the other, each farthest from those before. A smaller sample has smaller leaves."""
     tree = Tree([], [], [], sample.shape[1])
+    leaf_rows = min(LEAF_SAMPLE, max(FAN, len(sample) * LEAF_SAMPLE // SAMPLE_ROWS))
 
     def add(rows: np.ndarray, way: list[tuple[int, int]]) -> int:
-        if len(rows) <= LEAF_SAMPLE or len(way) == DEPTH:
+        if len(rows) <= leaf_rows or len(way) == DEPTH:
             tree.way.append(way)
             return -len(tree.way)
         chosen = [int(np.argmin(((rows - rows.mean(0)) ** 2).sum(1)))]
