@@ -151,7 +151,7 @@ _VALID = ("previous_alarm_1", "severity_encoded", "sequence_length", "twice")
     sequences.CODED_SQL, sequences.LAGGED_SQL, "rows18 AS (SELECT * FROM lagged)"))
 def k18(spark, sf_dir):
     from towerlens.operators import sequence
-    ordered = sequences.sliced(sequences.coded(spark, sf_dir))
+    ordered = sequences.sliced(sequences.coded(spark, sf_dir, sequences.towers))
     lags = sequence.position(sequence.lag_features(ordered, {"alarm_name_encoded": "previous_alarm"})).rows()
     rows = lags.select(
         F.when(F.col("previous_alarm_1") >= 0, F.col("previous_alarm_1")).alias("previous_alarm_1"),

@@ -56,7 +56,8 @@ def sliced(df: DataFrame) -> slices.Sliced:
     return slices.slice_groups(df, KEYS, ORDER)
 
 
-def _towers(spark, sf_dir) -> DataFrame:
+def towers(spark, sf_dir) -> DataFrame:
+    """Alarms of towers that have an eNodeB."""
     return clean.towers(alarms(spark, sf_dir), KEYS)
 
 
@@ -211,7 +212,7 @@ def g17_last(spark, sf_dir):
     "FROM lagged", CODED_SQL, LAGGED_SQL))
 def g18(spark, sf_dir):
     pair = text.joined([F.col("previous_alarm_type_1"), F.col("alarm_type_encoded")], "->")
-    rows = lagged(spark, sf_dir, _towers).select("log_serial_number", pair.alias("pair"))
+    rows = lagged(spark, sf_dir, towers).select("log_serial_number", pair.alias("pair"))
     shared = sequence.with_share_of_rows(rows, F.col("pair"), "transition_pair_frequency")
     return shared.select("log_serial_number", "pair", *rounded("transition_pair_frequency"))
 
@@ -225,7 +226,7 @@ def g18(spark, sf_dir):
     "round(count(*) OVER (PARTITION BY previous_alarm_type_1, alarm_type_encoded) / (count(*) OVER ())::DOUBLE, 6) AS transition_pair_frequency "
     "FROM lagged", CODED_SQL, LAGGED_SQL))
 def shapes(spark, sf_dir):
-    rows = sequence.lag_shape_features(lagged(spark, sf_dir, _towers))
+    rows = sequence.lag_shape_features(lagged(spark, sf_dir, towers))
     return rows.select(
         "log_serial_number", "consecutive_alarm_streak", "consecutive_source_streak", "unique_alarm_sources_5step",
         *rounded("alarm_repeat_ratio_5step", "weighted_alarm_repeat_score", "transition_pair_frequency"))
@@ -242,7 +243,7 @@ def _before_sql(length: int) -> str:
 
 def _before(length: int):
     def query(spark, sf_dir):
-        parts = sequence.lag_features(sliced(coded(spark, sf_dir, _towers)), {"alarm_name_encoded": "previous_alarm"})
+        parts = sequence.lag_features(sliced(coded(spark, sf_dir, towers)), {"alarm_name_encoded": "previous_alarm"})
         rows = sequence.future_outage(parts).rows()
         return sequence.sequences_before_outage(rows, length).withColumn("length", F.lit(length))
     return query
