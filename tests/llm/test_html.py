@@ -119,6 +119,24 @@ def test_repeated_runs_of_a_host(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("part_pages", [7, 40, 1_000])
+def test_parts_change_no_result(spark, tmp_path, monkeypatch, part_pages):
+    """A host cut into many parts gives what the whole host gives, shares near the limits included."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [" ".join(word() for _ in range(12)) for _ in range(24)]
+    pages = []
+    for i in range(200):  # passage k is on k in 24 pages, outside and inside of articles
+        body = "".join(f"<p>{s}</p>" for k, s in enumerate(shared) if rng.random() < (k + 1) / 26) + f"<p>{' '.join(word() for _ in range(20))}</p>"
+        pages.append(f"<article>{body}</article>" if i % 2 else body)
+    pages += pages[:30] + [pages[0]] * 60 + ["", "<p>short</p>"]  # copies count once
+    want = op.main_texts(pages)
+    assert len(set(want)) > 150 and sum(s in t for s in shared for t in want) < sum(s in p for s in shared for p in pages)
+    monkeypatch.setattr(op, "PART_PAGES", part_pages)
+    got = run(spark, tmp_path, [(i, "http://a.org/", p) for i, p in enumerate(pages)])
+    assert [t for _, t in sorted(got)] == want
+
+
 def test_empty(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
 

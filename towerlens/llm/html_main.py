@@ -1,23 +1,27 @@
 """Main text of web pages by host suffix arrays.
 
 Each page is cut into blocks of text with what its markup says about them: inside chrome
-(menus, sidebars, adverts, ...), inside an article or other main part, or nothing. Pages of
-one host meet in parts of bounded size; there the token streams of the distinct pages are
-concatenated and their suffixes sorted by prefix doubling up to the length sought. Equal
-neighbours in that order are substrings that repeat, their pages are counted, and the
-tokens they cover are marked. What is covered and stands outside of the article goes as
-boilerplate, inside of it only what is on most pages of the host; then the markup's own
-chrome goes, and the unique runs are the text.
+(menus, sidebars, adverts, ...), inside an article or other main part, or nothing. Distinct
+pages of one host meet in parts of bounded size; there the token streams are concatenated
+and their suffixes sorted by prefix doubling up to the length sought. Equal neighbours in
+that order are substrings that repeat. What is on a share of a host's pages is on that share
+of some part's pages, so those of every part are candidates; each is then counted over all
+pages of its host, and the tokens it covers are marked on every page. What is covered and
+stands outside of the article goes as boilerplate, inside of it only what is on most pages
+of the host; then the markup's own chrome goes, and the unique runs are the text.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +30,10 @@ from towerlens.llm import common
 
 #: Tokens that a repeated substring has at least (a power of two: the doubling ends there).
 LONG = 8
-#: Pages of a host that one part has about; a larger host is read as several hosts.
+#: Pages of a host whose suffixes one task sorts at once, about; it changes no result.
 PART_PAGES = 256
 #: A substring is boilerplate outside of the article on so many distinct pages and such a
-#: share of the part's distinct pages, and inside of it on these.
+#: share of the host's distinct pages, and inside of it on these.
 OUTSIDE, INSIDE = (2, 0.1), (8, 0.8)
 #: Share of a block's tokens that must be covered for the block to go.
 COVERED = 0.9
@@ -190,26 +194,80 @@ def prefix_ranks(ids: np.ndarray, length: int) -> np.ndarray:
     return ranks
 
 
-def repeats(ids: np.ndarray, page: np.ndarray, length: int = LONG) -> np.ndarray:
-    """For each token of concatenated streams, on how many distinct pages the most widespread
-    substring of ``length`` tokens that covers it occurs (0: none repeats).
+def spread(ids: np.ndarray, page: np.ndarray, length: int = LONG) -> np.ndarray:
+    """On how many distinct pages the ``length`` tokens from each token on occur.
 
     ``ids`` are token numbers; each page's stream must end with a token of its own.
     """
-    if len(ids) < length:
-        return np.zeros(len(ids), np.int64)
     ranks = prefix_ranks(ids, length)
     order = np.lexsort((page, ranks))  # the suffix array; equal prefixes are neighbours
     new_rank = np.r_[True, ranks[order[1:]] != ranks[order[:-1]]]
     new_page = new_rank | np.r_[True, page[order[1:]] != page[order[:-1]]]
     group = np.cumsum(new_rank) - 1
-    pages = np.bincount(group, weights=new_page).astype(np.int64)[group]
     count = np.zeros(len(ids), np.int64)
-    count[order] = np.where(pages > 1, pages, 0)
-    covered = count.copy()
+    count[order] = np.bincount(group, weights=new_page).astype(np.int64)[group]
+    return count
+
+
+def covered(starts: np.ndarray, length: int = LONG) -> np.ndarray:
+    """For each token the greatest value of the substrings that cover it, given by their first tokens."""
+    found = starts.copy()
     for back in range(1, length):  # a token is covered by the substrings that begin up to length - 1 before it
-        covered[back:] = np.maximum(covered[back:], count[:-back])
-    return covered
+        found[back:] = np.maximum(found[back:], starts[:-back])
+    return found
+
+
+def repeats(ids: np.ndarray, page: np.ndarray, length: int = LONG) -> np.ndarray:
+    """For each token of concatenated streams, on how many distinct pages the most widespread
+    substring of ``length`` tokens that covers it occurs (0: none repeats)."""
+    if len(ids) < length:
+        return np.zeros(len(ids), np.int64)
+    count = spread(ids, page, length)
+    return covered(np.where(count > 1, count, 0), length)
+
+
+class Streams:
+    """Token streams of pages, given by the texts of their blocks, one after the other; a
+    page ends with a token of its own. ``block`` numbers the blocks of all pages (end: -1)."""
+
+    def __init__(self, texts: pa.Array, blocks_of: np.ndarray):
+        split = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        lengths = np.diff(split.offsets.to_numpy())
+        first = np.cumsum(blocks_of) - blocks_of
+        sums = np.r_[0, np.cumsum(lengths)]
+        sizes = sums[first + blocks_of] - sums[first] + 1
+        self.page = np.repeat(np.arange(len(sizes)), sizes)
+        self.stops = np.cumsum(sizes)
+        inner = np.ones(len(self.page), bool)
+        inner[self.stops - 1] = False
+        self.block, self.codes = np.full(len(inner), -1), np.full(len(inner), -1)
+        self.block[inner], self.codes[inner] = np.repeat(np.arange(len(lengths)), lengths), coded.indices.to_numpy()
+        self.distinct = coded.dictionary.to_pylist()
+
+    @classmethod
+    def of(cls, pages: list[list[str]]) -> Streams:
+        return cls(pa.array([t for p in pages for t in p], pa.large_string()), np.fromiter(map(len, pages), np.int64, len(pages)))
+
+    def ids(self) -> np.ndarray:
+        ids = self.codes.copy()
+        ids[self.stops - 1] = len(ids) + np.arange(len(self.stops))
+        return ids
+
+    def names(self) -> np.ndarray:
+        """A 64-bit hash of the ``LONG`` tokens from each token on; only where ``whole``."""
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.distinct), np.uint64, len(self.distinct))
+        hashes = np.r_[hashes, np.zeros(1, np.uint64)][self.codes]  # the last is that of a page's end
+        names = np.zeros(len(hashes), np.uint64)
+        with np.errstate(over="ignore"):  # 64-bit mixing wraps on purpose
+            for k in range(min(LONG, len(names))):
+                names *= np.uint64(0x9E3779B97F4A7C15)
+                names[:len(names) - k] += hashes[k:]
+        return names.view(np.int64)
+
+    def whole(self) -> np.ndarray:
+        """Where ``LONG`` tokens of the page are left."""
+        return np.arange(len(self.page)) + LONG < self.stops[self.page]
 
 
 def chosen(page_blocks: list[tuple[str, int]], outside: list[bool], inside: list[bool]) -> list[str]:
@@ -227,40 +285,44 @@ def chosen(page_blocks: list[tuple[str, int]], outside: list[bool], inside: list
     return [page_blocks[i][0] for i in kept or body]
 
 
+def widespread(pages: list[list[str]], least: float) -> np.ndarray:
+    """Names of the substrings that are on at least so many of the distinct ``pages``, ascending."""
+    streams = Streams.of(pages)
+    if not len(streams.page):
+        return np.zeros(0, np.int64)
+    return np.unique(streams.names()[streams.whole() & (spread(streams.ids(), streams.page) >= least)])
+
+
+def among(names: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which ``names`` are in ``known`` (ascending)."""
+    if not len(known):
+        return np.zeros(len(names), bool)
+    return known[np.minimum(np.searchsorted(known, names), len(known) - 1)] == names
+
+
+def unique_text(pages: list[list[tuple[str, int]]], boilerplate: list[tuple[np.ndarray, np.ndarray]]) -> list[str]:
+    """Main text of pages given as blocks, and for each the names of the substrings that are
+    boilerplate outside and inside of the article (ascending)."""
+    streams = Streams.of([[t for t, _ in p] for p in pages])
+    names, whole, inner = streams.names(), streams.whole(), streams.block >= 0
+    size, share = np.bincount(streams.block[inner]), []
+    for known in zip(*boilerplate):
+        starts = np.zeros(len(names), bool)
+        for own, start, stop in zip(known, np.r_[0, streams.stops[:-1]].tolist(), streams.stops.tolist()):
+            if len(own):
+                starts[start:stop] = among(names[start:stop], own)
+        tokens = covered(starts & whole)[inner]
+        share.append((np.bincount(streams.block[inner], weights=tokens) >= COVERED * size).tolist())
+    ends = np.cumsum([0, *map(len, pages)]).tolist()
+    return ["\n".join(chosen(cut, *(x[lo:hi] for x in share))) for cut, lo, hi in zip(pages, ends, ends[1:])]
+
+
 def main_texts(pages: list[str]) -> list[str]:
-    """Main text of each page of one part of a host."""
+    """Main text of each page of one host."""
     cut = [blocks(p) for p in pages]
-    first: dict[tuple, int] = {}
-    of = [first.setdefault(tuple(t for t, _ in b), i) for i, b in enumerate(cut)]
-    distinct = sorted(set(of))
-    words: list[str] = []
-    page, owner, ends = [], [], []
-    for i in distinct:
-        for k, (text, _) in enumerate(cut[i]):
-            tokens = text.split(" ")
-            words += tokens
-            page.append(np.full(len(tokens), i))
-            owner.append(np.full(len(tokens), k))
-        ends.append(len(words))
-        words.append("")  # replaced by a token of its own
-        page.append(np.full(1, i))
-        owner.append(np.full(1, -1))
-    ids = pd.factorize(np.asarray(words, object))[0].astype(np.int64) if words else np.zeros(0, np.int64)
-    ids[ends] = len(ids) + np.arange(len(ends))
-    page_of, block_of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (page, owner))
-    on = repeats(ids, page_of)
-    results: dict[int, str] = {}
-    starts = dict(zip(distinct, [0, *(e + 1 for e in ends)]))
-    for i, stop in zip(distinct, ends):
-        here = slice(starts[i], stop)
-        n = len(cut[i])
-        size = np.bincount(block_of[here], minlength=n)
-        share = []
-        for least, part in (OUTSIDE, INSIDE):
-            spread = on[here] >= max(least, part * len(distinct))
-            share.append((np.bincount(block_of[here], weights=spread, minlength=n) >= COVERED * size).tolist())
-        results[i] = "\n".join(chosen(cut[i], *share))
-    return [results[i] for i in of]
+    distinct = list({tuple(t for t, _ in b): None for b in cut})
+    known = tuple(widespread(distinct, max(least, part * len(distinct))) for least, part in (OUTSIDE, INSIDE))
+    return unique_text(cut, [known] * len(cut))
 
 
 # ---- operator ------------------------------------------------------------------------------
@@ -271,27 +333,104 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(key, text) for ``pages`` with a column ``key``: the main text of each page.
+def _parts(pages: DataFrame) -> DataFrame:
+    """(host, texts, candidates, pages) of ``pages`` (host, html), staged: a row with the
+    texts of the blocks of every distinct page of a part, and for each part one with the
+    names of its candidates and the number of its distinct pages.
 
     Only hosts with more than ``PART_PAGES`` pages are counted and cut into parts, by the
-    hash of their pages' keys; the pages themselves are shuffled once.
+    hash of their pages' texts, so that copies meet; those of one task travel once, compressed.
+    """
+    large = pages.groupBy("host").count().filter(F.col("count") > PART_PAGES)
+    # written first, so that its size is known and the pages meet it where they are read
+    parts = common.stage(large.select("host", F.ceil(F.col("count") / PART_PAGES).cast("int").alias("parts")), "parts")
+    cut = pages.join(parts, "host", "left").select("host", F.coalesce("parts", F.lit(1)).alias("parts"), "html")
+
+    def parse(batches):
+        seen: set[tuple] = set()
+        for batch in common.chunks(batches, "html"):
+            texts = ["\n".join(t for t, _ in blocks(p)).encode() for p in common.column(batch, "html").to_pylist()]
+            names = list(map(xxhash.xxh3_128_digest, texts))
+            places = list(zip(common.column(batch, "host").to_pylist(), names))
+            if len(seen) > 500_000:
+                seen.clear()
+            new = []
+            for i, place in enumerate(places):
+                if place not in seen:
+                    seen.add(place)
+                    new.append(i)
+            number = common.column(batch, "parts").take(pa.array(new, pa.int64()))
+            part = [int.from_bytes(names[i][:8], "little") % n for i, n in zip(new, number.to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [common.column(batch, "host").take(pa.array(new, pa.int64())), number, pa.array(part, pa.int32()), pa.array([names[i] for i in new], pa.binary()), pa.array([zlib.compress(texts[i], 1) for i in new], pa.binary())],
+                ["host", "parts", "part", "page", "texts"])
+
+    def sort(group):
+        packed = dict(zip(group.column("page").to_pylist(), group.column("texts").to_pylist()))
+        # a block's text is never empty and has no line break
+        distinct = [x.split("\n") if x else [] for x in (zlib.decompress(p).decode() for p in packed.values())]
+        n, (least, share) = len(distinct), OUTSIDE
+        # of several parts one may have it on a single page
+        found = widespread(distinct, max(least if group.column("parts")[0].as_py() == 1 else 1, share * n - 1e-6))
+        kind = pa.list_(pa.int64())
+        return pa.table({
+            "host": pa.array([group.column("host")[0].as_py()] * (n + 1), pa.string()), "texts": pa.array([*distinct, None], pa.list_(pa.string())),
+            "candidates": pa.concat_arrays([pa.nulls(n, kind), pa.array([found], kind)]), "pages": pa.array([None] * n + [n], pa.int64())})
+
+    # dealt by both: a join by host alone must not decide where a large host goes
+    dealt = cut.mapInArrow(parse, "host string, parts int, part int, page binary, texts binary").repartition("host", "part")
+    return common.stage(dealt.groupBy("host", "part").applyInArrow(sort, "host string, texts array<string>, candidates array<long>, pages long"), "streams")
+
+
+def boilerplate(pages: DataFrame) -> DataFrame:
+    """(host, outside, inside) of ``pages`` (host, html), staged: names of the substrings that
+    are boilerplate outside and inside of a host's articles, counted over its distinct pages.
+
+    A list has no more names than ten pages of the host have substrings.
     """
+    parts = _parts(pages)
+    heads = parts.filter("pages is not null").select("host", "pages", "candidates")
+    sizes = heads.groupBy("host").agg(F.sum("pages").alias("pages"))
+    wanted = heads.select("host", F.explode("candidates").alias("name")).groupBy("host").agg(F.array_sort(F.collect_set("name")).alias("wanted"))
+    wanted = common.stage(wanted, "wanted")
+
+    def count(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                texts = common.column(some, "texts")
+                streams = Streams(texts.flatten(), pc.list_value_length(texts).to_numpy().astype(np.int64))
+                names, whole, found = streams.names(), streams.whole(), {}
+                known = common.column(some, "wanted")
+                for i, (host, start, stop) in enumerate(zip(common.column(some, "host").to_pylist(), np.r_[0, streams.stops[:-1]], streams.stops)):
+                    own = names[start:stop][whole[start:stop]]
+                    found.setdefault(host, []).append(np.unique(own[among(own, known[i].values.to_numpy())]))
+                for host, lists in found.items():
+                    own, n = np.unique(np.concatenate(lists), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(own), pa.string()), pa.array(own, pa.int64()), pa.array(n, pa.int64())], ["host", "name", "n"])
+
+    on = parts.filter("pages is null").select("host", "texts").join(wanted, "host").mapInArrow(count, "host string, name long, n long")
+    on = on.groupBy("host", "name").agg(F.sum("n").alias("n")).join(sizes, "host")
+    enough = [F.col("n") >= F.greatest(F.lit(float(least)), F.lit(part) * F.col("pages")) for least, part in (OUTSIDE, INSIDE)]
+    lists = [F.array_sort(F.collect_list(F.when(e, F.col("name")))).alias(what) for e, what in zip(enough, ("outside", "inside"))]
+    return common.stage(on.filter(enough[0] | enough[1]).groupBy("host").agg(*lists), "boilerplate")
+
+
+def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """(key, text) for ``pages`` with a column ``key``: the main text of each page."""
     session.ship_package(pages.sparkSession)
     own = pages.select("key", host(F.col(url)).alias("host"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
-    large = pages.groupBy(host(F.col(url)).alias("host")).count().filter(F.col("count") > PART_PAGES)
-    # written first, so that its size is known and the pages meet it where they are read
-    parts = common.stage(large.select("host", F.ceil(F.col("count") / PART_PAGES).alias("parts")), "parts")
-    cut = own.join(parts, "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(0)))
+    known = boilerplate(own.select("host", "html"))
 
-    def work(group):
-        texts = main_texts(group.column("html").to_pylist())
-        return pa.table({"key": group.column("key"), "text": pa.array(texts, pa.string())})
+    def work(batches):
+        none = np.zeros(0, np.int64)
+        for batch in common.chunks(batches, "html"):
+            cut = [blocks(p) for p in common.column(batch, "html").to_pylist()]
+            lists = ([x.values.to_numpy() if x.is_valid else none for x in common.column(batch, c)] for c in ("outside", "inside"))
+            yield pa.RecordBatch.from_arrays([common.column(batch, "key"), pa.array(unique_text(cut, list(zip(*lists))), pa.string())], ["key", "text"])
 
     kind = pages.schema["key"].dataType.simpleString()
-    # dealt by both: a join by host alone must not decide where a large host goes
-    dealt = cut.select("host", "part", "key", "html").repartition("host", "part")
-    return dealt.groupBy("host", "part").applyInArrow(work, f"key {kind}, text string")
+    return own.join(known, "host", "left").select("key", "html", "outside", "inside").mapInArrow(work, f"key {kind}, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
