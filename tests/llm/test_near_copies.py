@@ -103,6 +103,47 @@ def test_many_unlinked_texts_on_one_shingle_make_few_pairs(spark, monkeypatch):
     assert sum(counted.values()) < len(rows)
 
 
+def test_simhash_and_vantage_points_find_near_copies_first(spark, monkeypatch):
+    """Long texts with one word changed link by their SimHashes; the exact check need not pair them."""
+    rng = random.Random(12)
+    bases = [[f"w{rng.randrange(10**6)}" for _ in range(4_000)] for _ in range(20)]
+    rows = []
+    for i in range(200):
+        own = list(bases[i % 20])
+        own[rng.randrange(4_000)] = f"v{i}"
+        rows.append((i, " ".join(own)))
+    counted, stage = {}, common.stage
+
+    def counting(df, label):
+        found = stage(df, label)
+        if label in ("printed", "pairs", "rest"):
+            counted[label] = found.count()
+        return found
+
+    monkeypatch.setattr(op.common, "stage", counting)
+    same(run(spark, rows), rows)
+    assert counted["printed"] >= 150 and counted.get("pairs", 0) + counted.get("rest", 0) < 20
+
+
+def test_pairs_that_cannot_link_are_not_joined(spark, monkeypatch):
+    """A common shingle that stands too late in the sets to leave enough overlap makes no pairs."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    phrase = next(p for p in (f"one phrase of all {k}" for k in range(10_000)) if 0.14 < int(op.shingles(p)[0]) / 2**64 + 0.5 < 0.17)
+    rows = [(i, " ".join(word() for _ in range(300)) + " " + phrase) for i in range(200)]
+    assert sum(op.shingles(phrase)[0] in op.prefix(op.shingles(t), *[op.shingles("")] * 2) for _, t in rows) > 150
+    seen, verified = [], op._verified
+
+    def counting(pairs, *more):
+        seen.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(op, "LAST", 0)  # common shingles stay where their hash puts them
+    monkeypatch.setattr(op, "_verified", counting)
+    assert len(run(spark, rows)) == len(rows)
+    assert sum(seen) < 40
+
+
 def test_staged_tables_are_deleted(spark):
     root = common.session.shared_root(spark) + "/towerlens"
     before = set(os.listdir(root)) if os.path.isdir(root) else set()

@@ -1,8 +1,11 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash and vantage-point trees, completed to exact Jaccard similarity.
 
 Two texts link if the Jaccard similarity of their sets of five-word shingles is at least 0.8.
-All shingles have one fixed order; two sets that link share a shingle among the first fifth
-(plus one) of each (prefix filter), so candidates meet on those shingles and no pair is lost.
+SimHashes of the sets meet in vantage-point trees first; those within three bits are verified
+and connected. What links at more bits is found by an exact check: all shingles have one
+fixed order; two sets that link share a shingle among the first fifth (plus one) of each
+(prefix filter), and the first one they share stands so far in front that enough is left of
+both behind it, so candidates meet on those shingles and no pair is lost.
 Shingles seen often in a sample that grows with the corpus come last, the most frequent at
 the very end; the order spares comparisons and never changes the result. First every set
 meets one leader of each of its shingles; once those links are verified and connected, sets
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from towerlens import session
-from towerlens.llm import common
+from towerlens.llm import common, simhash_neardup
 from towerlens.llm.simhash_neardup import text_hashes
 
 WIDTH = 5
@@ -81,17 +84,19 @@ def common_shingles(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np
 
 
 def sketches(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> DataFrame:
-    """(place, name, size, prefix) per row of ``docs``; rows with equal sets share a name."""
+    """(place, name, size, fp, prefix) per row of ``docs``: its set's SimHash and first shingles;
+    rows with equal sets share a name."""
 
     def run(batches):
         for batch in common.chunks(batches):
             found = [shingles(t, width) for t in common.column(batch, "text").to_pylist()]
             names = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in found), np.uint64, len(found)).view(np.int64)
             sizes = np.fromiter(map(len, found), np.int32, len(found))
+            prints = common.majority(np.concatenate(found).view(np.uint64), sizes).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*(common.column(batch, c) for c in AT), pa.array(names), pa.array(sizes), _lists([prefix(x, *order) for x in found])], [*AT, "name", "size", "prefix"])
+                [*(common.column(batch, c) for c in AT), pa.array(names), pa.array(sizes), pa.array(prints), _lists([prefix(x, *order) for x in found])], [*AT, "name", "size", "fp", "prefix"])
 
-    return docs.select(*AT, "text").mapInArrow(run, "__file long, __row long, name long, size int, prefix array<long>")
+    return docs.select(*AT, "text").mapInArrow(run, "__file long, __row long, name long, size int, fp long, prefix array<long>")
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -154,32 +159,56 @@ def _sized(pairs: DataFrame, names: DataFrame) -> DataFrame:
     return both.filter("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
 
 
+def _print_pairs(names: DataFrame) -> DataFrame:
+    """(a, b, size_a, size_b) of sets whose SimHashes differ in at most three bits: pairs that
+    connect them, where sizes allow the similarity."""
+    leaders = names.groupBy("fp").agg(F.min("name").alias("leader"))
+    equal = names.join(leaders, "fp").filter("name <> leader").select(F.col("leader").alias("a"), F.col("name").alias("b"))
+    close = simhash_neardup.links(names).distinct().toDF("fp_a", "fp_b")
+    close = close.join(leaders.toDF("fp_a", "x"), "fp_a").join(leaders.toDF("fp_b", "y"), "fp_b")
+    close = close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return common.stage(_sized(equal.unionByName(close).distinct(), names), "printed")
+
+
+def _bound(size_a: str, at_a: str, size_b: str, at_b: str) -> str:
+    """Whether two sets whose first common shingle stands at these places can link: what is
+    left from there on bounds their overlap, in whole numbers."""
+    return f"9 * least({size_a} - {at_a}, {size_b} - {at_b}) >= 4 * ({size_a} + {size_b})"
+
+
 def set_components(sets: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(node, component) of the links between ``sets``; rows of one name have equal sets."""
-    names = sets.groupBy("name").agg(F.min(F.struct(*AT)).alias("at"), F.first("size").alias("size"))
-    names = common.stage(names.select("name", "size", *(F.col(f"at.{c}").alias(c) for c in AT)), "names")
+    names = sets.groupBy("name").agg(F.min(F.struct(*AT)).alias("at"), F.first("size").alias("size"), F.first("fp").alias("fp"))
+    names = common.stage(names.select("name", "size", "fp", *(F.col(f"at.{c}").alias(c) for c in AT)), "names")
+    links = common.stage(_verified(_print_pairs(names), names, docs, width), "near")
+    known = common.components(links)
+
     # equal sets meet once, by one row of theirs
-    one = sets.select(*AT, "name", "prefix").join(_small(names.select(*AT)), AT, "left_semi")
+    one = sets.select(*AT, "name", "size", "prefix").join(_small(names.select(*AT)), AT, "left_semi")
+    one = one.join(known.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     under = Window.partitionBy("shingle")
-    shared = one.select(F.explode("prefix").alias("shingle"), "name").withColumns(
-        {"leader": F.min("name").over(under), "sets": F.count(F.lit(1)).over(under)})
-    shared = common.stage(shared.filter("sets > 1").select("shingle", "name", "leader"), "shared")
-    first = shared.filter("name <> leader").select(F.col("leader").alias("a"), F.col("name").alias("b")).distinct()
-    first = common.stage(_sized(first, names), "pairs")
-    links = common.stage(_verified(first, names, docs, width), "near")
+    shared = one.select(F.posexplode("prefix").alias("at", "shingle"), "name", "size", "component").withColumns(
+        {"leader": F.min(F.struct("name", "size", "at", "component")).over(under), "sets": F.count(F.lit(1)).over(under)})
+    shared = common.stage(shared.filter("sets > 1").select("shingle", "name", "size", "at", "component", "leader"), "shared")
+    first = shared.filter("component <> leader.component").filter(_bound("size", "at", "leader.size", "leader.at"))
+    first = first.select(F.col("leader.name").alias("a"), F.col("name").alias("b"), F.col("leader.size").alias("size_a"), F.col("size").alias("size_b"))
+    first = common.stage(first.distinct(), "pairs")
+    links = links.unionByName(common.stage(_verified(first, names, docs, width), "near"))
     known = common.components(links)
 
-    placed = shared.select("shingle", "name").join(known.withColumnRenamed("node", "name"), "name", "left")
+    placed = shared.select("shingle", "name", "size", "at").join(known.withColumnRenamed("node", "name"), "name", "left")
     placed = common.stage(placed.withColumn("component", F.coalesce("component", "name")), "placed")
     counts = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
     mains = counts.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
     mains = common.stage(mains.filter("parts > 1"), "mains")
     # a shingle whose sets are connected costs nothing more
-    open_ = common.stage(placed.join(mains, "shingle").select("shingle", "name", "component", "main"), "open")
-    stray = open_.filter("component <> main").select("shingle", F.col("name").alias("b"), F.col("component").alias("component_b"))
-    rest = open_.join(stray, "shingle").filter("component <> component_b")
-    rest = rest.select(F.least("name", "b").alias("a"), F.greatest("name", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = common.stage(_sized(rest, names), "rest")
+    open_ = common.stage(placed.join(mains, "shingle").select("shingle", "name", "size", "at", "component", "main"), "open")
+    stray = open_.filter("component <> main").select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("name", "size", "at", "component")))
+    rest = open_.join(stray, "shingle").filter("component <> component_b").filter(_bound("size", "at", "size_b", "at_b"))
+    ends = [F.struct(F.col("name").alias("name"), F.col("size").alias("size")), F.struct(F.col("name_b").alias("name"), F.col("size_b").alias("size"))]
+    rest = rest.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"))
+    rest = rest.selectExpr("x.name AS a", "y.name AS b", "x.size AS size_a", "y.size AS size_b").distinct().join(first, ["a", "b"], "left_anti")
+    rest = common.stage(rest, "rest")
     if not rest.take(1):
         return known
     return common.components(links.unionByName(common.stage(_verified(rest, names, docs, width), "near")))
