@@ -35,9 +35,10 @@ def test_every_row_counts(spark, monkeypatch):
     assert order == [r.stands_for for r in training.gathered(rows.repartition(5)).collect()]
 
 
-def test_fits_read_gathered_rows(spark, monkeypatch):
+def test_trees_and_sigmoids_read_gathered_rows(spark, monkeypatch):
     rows = table(spark)
     plain = training.fit(training.linear(), rows)
+    steps = training.calibrate(rows.drop("weight"), ["a", "b"], training.linear(), F.col("id"))
     monkeypatch.setattr(training, "GATHER_ROWS", 100)
     seen = []
     fitted = type(training.linear()).fit
@@ -45,6 +46,10 @@ def test_fits_read_gathered_rows(spark, monkeypatch):
     again = training.fit(training.linear(), rows)
     assert max(seen) < 150
     assert again.coefficients.toArray() == pytest.approx(plain.coefficients.toArray(), abs=1e-4)
+    after = training.calibrate(rows.drop("weight"), ["a", "b"], training.linear(), F.col("id"))
+    assert max(seen) < 250
+    for (_, slope, offset), (_, slope2, offset2) in zip(steps.members, after.members):
+        assert (slope2, offset2) == pytest.approx((slope, offset), abs=1e-3)
     # an estimator that does not weigh rows sees them one by one
     seen.clear()
     training.fit(LogisticRegression(), rows)
