@@ -46,6 +46,20 @@ def test_matches_one_pass_per_permutation(spark, monkeypatch, rows):
         assert got[name] == pytest.approx(np.mean(drops), abs=1e-12)
 
 
+def test_rows_given_their_own_value_are_scored_once(spark):
+    """What is scored are the rows as they are and those that a permutation changes."""
+    frame = spark.createDataFrame([(i, None if i % 50 == 0 else int(i % 10 == 0), i % 7, int(i % 3 == 0)) for i in range(500)], "id long, a int, b int, y int")
+    seen = []
+
+    def score(df):
+        seen.append(df.select("a", "b").collect())
+        return df.withColumn("outage_probability", (2 * F.coalesce("a", F.lit(3)) + F.col("b")) / 100)
+
+    got = {r.feature: r.importance for r in training.permutation_importance(frame, ["a", "b"], score, "y", ["id"], 2).collect()}
+    assert set(got) == {"a", "b"} and len(seen[0]) == 500
+    assert 0 < len(seen[1]) < 2 * 500 * 0.4 and 2 * 500 * 0.7 < len(seen[2]) < 2 * 500
+
+
 def test_positions_beyond_32_bits():
     rows, at = 3_000_000_007, np.array([0, 1, 2_999_999_999, 3_000_000_006])
     for k in (0, 129):
