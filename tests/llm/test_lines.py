@@ -146,3 +146,56 @@ def test_a_text_of_many_repeated_lines_takes_linear_time(spark):
     got = {r.doc_id: r.text for r in op.dedup_lines(frame).collect()}
     assert got == {1: "the very same line of some words\n\nanother line altogether\n  ", 2: "own words of this text"}
     assert time.time() - start < 60
+
+
+def test_distance_by_columns_of_bits(monkeypatch):
+    rng, found = random.Random(3), {True: 0, False: 0}
+    for columns in (3, 256):
+        monkeypatch.setattr(op, "COLUMNS", columns)
+        for _ in range(500):
+            letters = rng.choice(["ab", "abcdefgh", "aé漢😀 "])
+            a = [rng.choice(letters) for _ in range(rng.randrange(40))]
+            b = list(a)
+            for _ in range(rng.randrange(14)):
+                at = rng.randrange(len(b) + 1)
+                b[at:at + rng.randrange(4)] = rng.choice(["", "x", "ab", "zzz"])
+            if rng.random() < 0.2:
+                b = [rng.choice(letters) for _ in range(rng.randrange(40))]
+            a, b = "".join(a), "".join(b)
+            exact = distance(a, b)
+            for allowed in {max(0, exact - 1), exact, exact + 1, max(len(a), len(b)) // 5}:
+                found[op.within(a, b, allowed)] += 1
+                assert op.within(a, b, allowed) == (exact <= allowed), (a, b, allowed)
+    assert min(found.values()) > 500
+
+
+def test_long_texts_that_differ_are_left_early():
+    """The whole table has 10,000,000,000 cells, of which 36 % are within the allowed edits."""
+    import time
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    a, b = (" ".join(rng.choice(words) for _ in range(15_000))[:100_000] for _ in range(2))
+    start = time.process_time()
+    assert not op.within(a, b, 20_000)
+    spent = time.process_time() - start
+    edited = a[:50_000] + "".join(rng.sample(a[50_000:52_000], 2_000)) + a[52_000:]
+    assert op.within(a[:20_000], a[100:20_000], 4_000) and op.within(edited[49_000:53_000], a[49_000:53_000], 2_000)
+    assert spent < 5
+
+
+def test_small_staged_tables_take_few_files(spark):
+    """Rounds over a handful of links must not cost a task and a file per shuffle partition."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(0, i) for i in range(1, 2_001)], "a long, b long")
+        found = common.components(links, 2_000)
+        assert found.select("component").distinct().count() == 1 and found.count() == 2_001
+        assert len(found.inputFiles()) == 1
+        assert len(common.stage(links.distinct(), "some", common.STAGED_ROWS * 3).inputFiles()) == 3
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -41,6 +41,10 @@ BROADCAST_LINES = 500_000
 #: Bytes of text whose SimHashes are taken at once; arrays of this size stay in a core's cache.
 PRINT_BYTES = 250_000
 GRAM = 5
+#: Edits up to which Spark's own distance is used; for longer texts columns of bits cost less.
+SHORT = 64
+#: Columns of the distance table between two looks at what it can still reach.
+COLUMNS = 256
 
 
 def line_prints(lines: list[str]) -> np.ndarray:
@@ -97,13 +101,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "row_key string, doc_id long, line_no int, line long, fp long, length int")
 
 
-def texts_of(docs: DataFrame, different: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(line, text) of the lines in ``pairs``: each is read from the one document that
-    ``different``, the table of different lines, names for it; others are not split."""
+def texts_of(docs: DataFrame, different: DataFrame, pairs: DataFrame, count: int) -> DataFrame:
+    """(line, text) of the lines in the ``count`` ``pairs``: each is read from the one document
+    that ``different``, the table of different lines, names for it; others are not split."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     wanted = different.select("line", "at").join(ids, "line", "left_semi")
     wanted = wanted.groupBy(F.col("at.row_key").alias("row_key")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "line")).alias("wanted"))
-    wanted = common.stage(wanted, "wanted")
+    wanted = common.stage(wanted, "wanted", 2 * count)
     if (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
     own = _keyed(docs).select("row_key", "text").join(wanted, "row_key").select("text", "wanted")
@@ -119,7 +123,7 @@ def texts_of(docs: DataFrame, different: DataFrame, pairs: DataFrame) -> DataFra
 
     found = own.mapInArrow(run, "line long, text string")
     # rows equal in doc_id and text give a line more than once
-    return common.stage(found.groupBy("line").agg(F.first("text").alias("text")), "line_texts")
+    return common.stage(found.groupBy("line").agg(F.first("text").alias("text")), "line_texts", 2 * count)
 
 
 def surely_similar(a: str, b: str, allowed: int) -> bool:
@@ -146,12 +150,47 @@ def surely_similar(a: str, b: str, allowed: int) -> bool:
     return False
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (a, b) whose texts are similar enough: most by an alignment at hand, the rest
-    by their edit distance."""
-    pairs = pairs.filter("a <> b").distinct()
+def within(a: str, b: str, allowed: int) -> bool:
+    """Whether the edit distance is at most ``allowed``: whole columns of the distance table as
+    bits of two numbers (where a cell is one more or less than the cell above it), only where
+    the rows are within ``allowed`` of the column, and no further than the distance can hold.
+
+    Cells outside are taken as too large, which is right where it matters: a way of cost
+    ``allowed`` never leaves the rows that are looked at.
+    """
+    n, m = len(a), len(b)
+    if abs(n - m) > allowed:
+        return False
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4")
+    places = {x: int.from_bytes(np.packbits(codes == ord(x), bitorder="little").tobytes(), "little") for x in set(a) & set(b)}
+    lo = hi = more = less = top = 0
+    for start in range(0, m, COLUMNS):
+        stop = min(m, start + COLUMNS)
+        first, last = max(0, start - allowed), min(n, stop + allowed)
+        gone = (1 << first - lo) - 1
+        top += (more & gone).bit_count() - (less & gone).bit_count()
+        more, less = more >> first - lo | (1 << last - first) - (1 << hi - first), less >> first - lo
+        lo, hi, full = first, last, (1 << last - first) - 1
+        at = {x: places[x] >> lo & full for x in set(b[start:stop]) if x in places}
+        for x in b[start:stop]:
+            equal = at.get(x, 0)
+            same = ((equal & more) + more ^ more | equal | less) & full
+            right = ((less | full ^ (same | more)) << 1 | 1) & full
+            more, less = ((same & more) << 1 | full ^ (same | right)) & full, same & right
+        top += stop - start
+        bits = [np.unpackbits(np.frombuffer(x.to_bytes(-(-(hi - lo) // 8), "little"), np.uint8), count=hi - lo, bitorder="little").astype(np.int64) for x in (more, less)]
+        cells = top + np.cumsum(np.r_[0, bits[0] - bits[1]])
+        # what is left has its difference in length to pay at least
+        if (cells + np.abs(n - np.arange(lo, hi + 1) - (m - stop))).min() > allowed:
+            return False
+    return True if m else n <= allowed
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, count: int) -> DataFrame:
+    """Those of ``count`` different pairs (a, b) whose texts are similar enough: most by an
+    alignment at hand, the rest by their edit distance."""
     # pairs are few rows and much work, so their number sets the tasks
-    pairs = pairs.repartition(max(pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // TASK_PAIRS)), "a", "b")
+    pairs = pairs.repartition(max(pairs.sparkSession.sparkContext.defaultParallelism, -(-count // TASK_PAIRS)), "a", "b")
     left = texts.select(F.col("line").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("line").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b")
@@ -159,21 +198,19 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = both.withColumn("allowed", F.expr("cast(greatest(char_length(text_a), char_length(text_b)) div 5 as int)"))
     both = both.filter("abs(char_length(text_a) - char_length(text_b)) <= allowed")
 
+    def decided(a: str, b: str, allowed: int) -> bool | None:
+        return True if surely_similar(a, b, allowed) else within(a, b, allowed) if allowed > SHORT else None
+
     def run(batches):
         for batch in batches:
             rows = zip(*(common.column(batch, c).to_pylist() for c in ("text_a", "text_b", "allowed")))
-            sure = pa.array([surely_similar(*r) for r in rows], pa.bool_())
+            similar = pa.array([decided(*r) for r in rows], pa.bool_())
             # texts are needed further only where nothing is decided yet
-            blank = [pa.compute.if_else(sure, pa.scalar(""), common.column(batch, c)) for c in ("text_a", "text_b")]
-            yield pa.RecordBatch.from_arrays([common.column(batch, "a"), common.column(batch, "b"), *blank, common.column(batch, "allowed"), sure], ["a", "b", "text_a", "text_b", "allowed", "sure"])
+            blank = [pa.compute.if_else(similar.is_valid(), pa.scalar(""), common.column(batch, c)) for c in ("text_a", "text_b")]
+            yield pa.RecordBatch.from_arrays([common.column(batch, "a"), common.column(batch, "b"), *blank, common.column(batch, "allowed"), similar], ["a", "b", "text_a", "text_b", "allowed", "similar"])
 
-    both = both.select("a", "b", "text_a", "text_b", "allowed").mapInArrow(run, "a long, b long, text_a string, text_b string, allowed int, sure boolean")
-    similar = F.expr("""
-        case when sure then true
-             when levenshtein(text_a, text_b, least(allowed, 64)) >= 0 then true
-             when allowed > 64 then levenshtein(text_a, text_b, allowed) >= 0
-             else false end""")
-    return both.filter(similar).select("a", "b")
+    both = both.select("a", "b", "text_a", "text_b", "allowed").mapInArrow(run, "a long, b long, text_a string, text_b string, allowed int, similar boolean")
+    return both.filter("coalesce(similar, levenshtein(text_a, text_b, allowed) >= 0)").select("a", "b")
 
 
 def buckets(prints: DataFrame) -> DataFrame:
@@ -295,8 +332,11 @@ def line_components(different: DataFrame, docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(line), none(len(line)), pa.array(fp.view(np.int64)), pa.array(length.astype(np.int64))], names)
 
     found = common.stage(buckets(prints).repartition(tasks, "bucket").mapInArrow(run, "bucket long, a long, b long, fp long, length long"), "buckets")
-    pairs = common.stage(found.filter("b is not null").select("a", "b").distinct(), "pairs")
-    known = common.components(_verified(pairs, texts_of(docs, different, pairs)))
+    # a pair may be met in several buckets, from either end
+    pairs = found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = common.stage(pairs, "pairs")
+    count = pairs.count()
+    known = common.components(_verified(pairs, texts_of(docs, different, pairs, count), count), count)
     dense = found.filter("b is null").select("bucket", F.col("a").alias("line"), "fp", "length")
     if not dense.take(1):
         return known
@@ -304,10 +344,11 @@ def line_components(different: DataFrame, docs: DataFrame) -> DataFrame:
     dense = common.stage(dense, "dense")
     for every in (False, True):
         rest = _between(dense, tasks, every)
-        if not rest.take(1):  # components without any pair stay without one
+        count = rest.count()
+        if not count:  # components without any pair stay without one
             break
-        links = _verified(rest.select("a", "b"), texts_of(docs, different, rest)).join(rest, ["a", "b"])
-        merged = common.components(links.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
+        links = _verified(rest.select("a", "b"), texts_of(docs, different, rest, count), count).join(rest, ["a", "b"])
+        merged = common.components(links.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")), count)
         if not merged.take(1):
             continue
         merged = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
