@@ -13,6 +13,7 @@ results are exact whatever the sample was.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -173,6 +174,25 @@ class Index:
         return least, most
 
 
+def _below(rows: DataFrame, wanted: int, count: int) -> DataFrame:
+    """The rows whose hash is so low that about ``wanted`` of all ``count`` rows are among them."""
+    return rows if wanted >= count else rows.filter(F.xxhash64("row") < F.lit(2**64 * wanted // count - 2**63))
+
+
+def _sample(rows: DataFrame, most: int, count: int) -> list[list[int]]:
+    """Vectors of the ``most`` rows that are first by hash.
+
+    Of all ``rows`` every task would send its own first ``most`` to the driver; of the rows
+    below a bound no more than these reach it. The bound is raised if it was too low.
+    """
+    wanted = most + 10 * math.isqrt(most)
+    while True:
+        found = _below(rows, wanted, count).select("vec").orderBy(F.xxhash64("row"), "row").limit(most).collect()
+        if len(found) >= min(most, count):
+            return [r[0] for r in found]
+        wanted *= 2
+
+
 _ASSIGNED = "row long, vec_id long, label long, vec array<long>, leaf int"
 
 
@@ -180,8 +200,8 @@ def build(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Index:
     """Index over all ``rows``; only the choice of split points rests on a sample."""
     session.ship_package(rows.sparkSession)
     written = common.stage(rows, "points")
-    width = written.agg(F.max(F.size("vec"))).first()[0] or 0
-    some = [r[0] for r in written.select("vec").orderBy(F.xxhash64("row"), "row").limit(min(sample_rows, max(FAN, SAMPLE_VALUES // max(1, width)))).collect()]
+    width, count = written.agg(F.coalesce(F.max(F.size("vec")), F.lit(0)), F.count(F.lit(1))).first()
+    some = _sample(written, min(sample_rows, max(FAN, SAMPLE_VALUES // max(1, width))), count)
     sample = np.zeros((len(some), width))
     for i, v in enumerate(some):
         sample[i, :len(v)] = v
@@ -282,6 +302,12 @@ def _visits(index: Index, wanted: DataFrame, home: bool) -> DataFrame:
     return wanted.select("row", "vec_id", "label", "vec", "los", "his").mapInArrow(work, _WANTED)
 
 
+def _merged(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join without a broadcast: the planner takes the size of these tables from packed
+    files, or from anchors not yet repeated for each block, and the driver would hold them whole."""
+    return left.hint("merge").join(right.hint("merge"), on)
+
+
 def _scan(index: Index, visits: DataFrame, anchors: int, k: int, same: bool) -> DataFrame:
     """The first ``k`` of each window: (row, vec_id, win, score, other_id, place).
 
@@ -294,7 +320,7 @@ def _scan(index: Index, visits: DataFrame, anchors: int, k: int, same: bool) ->
     chunk = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-anchors // CHUNK_ANCHORS)))).alias("chunk")
     asked = F.struct("row", "vec_id", "label", "vec", "los", "his")
     chunks = visits.groupBy("leaf", chunk).agg(F.collect_list(asked).alias("asked")).select("leaf", block, "asked")
-    joined = chunks.join(index.packed, ["leaf", "block"]).select("asked", "members")
+    joined = _merged(chunks, index.packed, ["leaf", "block"]).select("asked", "members")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,11 +392,11 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     windows = found.withColumns({"lo": F.ceil(score * low / 100).cast("long"), "hi": F.floor(score * high / 100).cast("long")})
     windows = windows.filter("lo <= hi").withColumn("slot", F.col("place") - 1)
     per_anchor = windows.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("slot", "lo", "hi", "score", F.col("other_id").alias("positive_id")))).alias("_w"))
-    asked = start.drop("los", "his").join(per_anchor, "row").withColumns({"los": F.col("_w.lo"), "his": F.col("_w.hi")})
+    asked = _merged(start.drop("los", "his"), per_anchor, ["row"]).withColumns({"los": F.col("_w.lo"), "his": F.col("_w.hi")})
     asked = common.stage(asked, "windows")
     negatives_found = nearest(index, asked, count, negatives, same=False)
     of = asked.select("row", F.posexplode("_w").alias("win", "_one")).select("row", "win", F.col("_one.positive_id").alias("positive_id"), F.col("_one.score").alias("positive_score"))
-    return negatives_found.join(of, ["row", "win"]).select(
+    return _merged(negatives_found, of, ["row", "win"]).select(
         _known("vec_id").alias("anchor_id"), _known("positive_id").alias("positive_id"), F.col("place").cast("int").alias("rank"),
         _known("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
